@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from feedback_engine import schemas as S
 from feedback_engine.functions.scalars import not_nan, ratio
 from feedback_engine.functions.wordlists import NEUTRAL_GUARD
-from feedback_engine.operators.ranking import running_totals, with_value_bucket
+from feedback_engine.operators.ranking import running_totals, whole, with_value_bucket
 
 SHORT = dict(zip(S.LABELS, ("neg", "neu", "pos")))
 SCORES = {label: f"score_{short}" for label, short in SHORT.items()}
-_ALL = Window.partitionBy(F.lit(1))
 
 
 def confusion_counts(
@@ -199,7 +198,7 @@ def rank_order(df: DataFrame, tie: str = "model") -> list[Column]:
 
 def rank_models(df: DataFrame, tie: str = "model") -> DataFrame:
     """Add ``model_rank``. Model tables have a row per candidate, a handful at most."""
-    return df.withColumn("model_rank", F.row_number().over(_ALL.orderBy(*rank_order(df, tie))))
+    return df.withColumn("model_rank", F.row_number().over(whole().orderBy(*rank_order(df, tie))))
 
 
 def choose_primary(df: DataFrame, tie: str = "model") -> DataFrame:
@@ -211,7 +210,7 @@ def merge_summaries(classic: DataFrame, neural: DataFrame | None = None, tie: st
     rows = classic if neural is None else classic.unionByName(neural, allowMissingColumns=True)
     comparable = F.coalesce(F.col("provenance") != "benchmark", F.lit(True))
     order = [F.desc(comparable), *rank_order(rows, tie)]
-    return rows.withColumn("is_primary", F.row_number().over(_ALL.orderBy(*order)) == 1)
+    return rows.withColumn("is_primary", F.row_number().over(whole().orderBy(*order)) == 1)
 
 
 def summary_rows(metrics: DataFrame, primary: str | Column, provenance: str) -> DataFrame:

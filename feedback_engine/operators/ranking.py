@@ -14,11 +14,17 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 MD5_PREFIX = 3  # 4,096 buckets of equal expected size
 SPLITS = 256
 
 
+def whole() -> WindowSpec:
+    """All rows as one window. Only for tables that grouping has already made small."""
+    return Window.partitionBy(F.lit(1))
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``order``.
 

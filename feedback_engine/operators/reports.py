@@ -15,10 +15,9 @@ from feedback_engine import schemas as S
 from feedback_engine.functions import scalars, text
 from feedback_engine.functions.wordlists import PREVIEW_CHARS
 from feedback_engine.operators.prepare import union_by_name
-from feedback_engine.operators.ranking import head_per_group
+from feedback_engine.operators.ranking import head_per_group, whole
 from feedback_engine.operators.views import counts
 
-_ALL = Window.partitionBy(F.lit(1))
 
 
 def class_order(label: Column) -> Column:
@@ -29,7 +28,7 @@ def class_order(label: Column) -> Column:
 
 def share_of(n: Column, keys: Sequence[str] = ()) -> Column:
     """n over the sum of n (inside ``keys``), 0 when that sum is zero. For grouped rows only."""
-    window = Window.partitionBy(*keys) if keys else _ALL
+    window = Window.partitionBy(*keys) if keys else whole()
     return scalars.ratio(n, F.sum(n).over(window))
 
 

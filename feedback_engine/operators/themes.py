@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from feedback_engine import schemas as S
 from feedback_engine.functions import rules, text
 from feedback_engine.operators.reports import share_of
+from feedback_engine.operators.ranking import whole
 
-_ALL = Window.partitionBy(F.lit(1))
 THEME_COLUMNS = (
     "theme",
     "n",
@@ -73,7 +73,7 @@ def theme_priority(
     meaningful = ~F.col("theme").isin(*S.UNINFORMATIVE_THEMES, *excluded)
     kept = (
         grouped.withColumn("_m", meaningful)
-        .withColumn("_any", F.max("_m").over(_ALL))
+        .withColumn("_any", F.max("_m").over(whole()))
         .where(F.col("_m") | ~F.col("_any"))
     )
     return (

@@ -19,11 +19,10 @@ from feedback_engine.operators.features import (
     write_vectors,
 )
 from feedback_engine.operators.prepare import conform
-from feedback_engine.operators.ranking import keep_first, most_frequent
+from feedback_engine.operators.ranking import keep_first, most_frequent, whole
 from feedback_engine.session import materialize
 
 SEED = 42
-_ALL = Window.partitionBy(F.lit(1))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -170,7 +169,7 @@ def topic_summary(clusters: DataFrame, method: str) -> DataFrame:
     order = [F.desc("n_records"), F.col("cluster_signal"), F.col("topic_name"), F.col("cluster_id")]
     numbered = clusters.withColumns(
         {
-            "topic_id": F.row_number().over(_ALL.orderBy(*order)),
+            "topic_id": F.row_number().over(whole().orderBy(*order)),
             "method": F.lit(method),
             "processed_at": F.current_timestamp(),
         }

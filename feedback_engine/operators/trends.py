@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from feedback_engine import schemas as S
 from feedback_engine.functions import scalars
 from feedback_engine.operators.insights import as_rows
+from feedback_engine.operators.ranking import whole
 
-_ALL = Window.partitionBy(F.lit(1))
 
 
 def _monthly_counts(df: DataFrame, sentiment: str, channel: str | None = None) -> DataFrame:
@@ -47,8 +47,8 @@ def _ranked(months: DataFrame) -> DataFrame:
     """Position from both ends: 1 is the first (``_up``) or the last (``_down``) month."""
     return months.withColumns(
         {
-            "_up": F.row_number().over(_ALL.orderBy("month")),
-            "_down": F.row_number().over(_ALL.orderBy(F.desc("month"))),
+            "_up": F.row_number().over(whole().orderBy("month")),
+            "_down": F.row_number().over(whole().orderBy(F.desc("month"))),
         }
     )
 
