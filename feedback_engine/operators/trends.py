@@ -64,11 +64,11 @@ def trend_deltas(
     """One row: last minus first month shares, last 3 minus first 3 months, one channel's delta."""
     parts = _monthly_counts(df, sentiment, channel)
     names = ("n_pos", "n_neg", "n_neu")
-    whole = _ranked(_with_shares(parts.groupBy("month").agg(*[F.sum(n).alias(n) for n in names])))
+    months = _ranked(_with_shares(parts.groupBy("month").agg(*[F.sum(n).alias(n) for n in names])))
     enough = F.count(F.lit(1))
     first3 = F.avg(F.when(F.col("_up") <= 3, F.col("neg_share")))
     last3 = F.avg(F.when(F.col("_down") <= 3, F.col("neg_share")))
-    overall = whole.agg(
+    overall = months.agg(
         enough.alias("n_months"),
         F.when(enough >= 2, _delta("neg_share")).alias("neg_delta"),
         F.when(enough >= 2, _delta("pos_share")).alias("pos_delta"),
