@@ -12,6 +12,7 @@ from feedback_engine.functions import rules, text
 from feedback_engine.functions import scalars as SC
 from feedback_engine.functions import wordlists as W
 from feedback_engine.operators import prepare as P
+from feedback_engine.operators.ranking import explode_terms
 from feedback_engine.operators.topics import cluster_shares
 from feedback_engine.plans.adapters import docs_view, read_table, reviews_view, themed_reviews
 
@@ -459,9 +460,8 @@ def format_pct(spark, sf_dir):
     SELECT length(word) >= 3 AND NOT regexp_full_match(word, '\d+') AS is_keyword, count(*) AS n FROM w GROUP BY 1""",
 )
 def digits_filter(spark, sf_dir):
-    words = docs_view(spark, sf_dir, label=False).select(
-        F.explode(text.split_words(text.normalize_text(F.col("raw_text")))).alias("word")
-    )
+    split = text.split_words(text.normalize_text(F.col("raw_text")))
+    words = explode_terms(docs_view(spark, sf_dir, label=False), [], split, ["word"])
     return words.groupBy(text.is_keyword(F.col("word")).alias("is_keyword")).agg(F.count(F.lit(1)).alias("n"))
 
 

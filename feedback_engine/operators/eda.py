@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedback_engine.functions import scalars
-from feedback_engine.operators.ranking import exact_quantiles, head_per_group
+from feedback_engine.operators.ranking import exact_quantiles, explode_terms, head_per_group
 from feedback_engine.operators.reports import share_of
 from feedback_engine.operators.views import counts
 
@@ -104,7 +104,7 @@ def token_frequencies(
     df: DataFrame, tokens: Column, n: int = 30, by: Sequence[str] = ()
 ) -> DataFrame:
     """Most frequent tokens, overall or per group."""
-    exploded = df.select(*by, F.explode(tokens).alias("token"))
+    exploded = explode_terms(df, by, tokens, ["token"])
     for key in by:
         exploded = exploded.where(F.col(key).isNotNull())
     grouped = counts(exploded, *by, "token")

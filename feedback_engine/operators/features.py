@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedback_engine.functions.text import drop_stopwords, stopword_set, tokenize
-from feedback_engine.operators.ranking import head_per_group, head_per_group_large
+from feedback_engine.operators.ranking import explode_terms, head_per_group, head_per_group_large
 from feedback_engine.session import scratch_path
 
 MAX_VOCABULARY = 1_000_000
@@ -96,7 +96,7 @@ def term_counts(df: DataFrame, grams: str = "_grams") -> DataFrame:
 
 def term_statistics(df: DataFrame, text: str, spec: TfidfSpec) -> DataFrame:
     """Document frequency and corpus frequency per term."""
-    rows = term_counts(with_grams(df, text, spec)).select(F.inline("_terms"))
+    rows = explode_terms(term_counts(with_grams(df, text, spec)), [], "_terms", ["term", "tf"])
     return rows.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf")
     )
@@ -134,7 +134,8 @@ def fit_vocabulary(
     sizes = {(row[by] if by else None): row["n"] for row in grouped.collect()}
     if len(sizes) > most:
         raise ValueError(f"more than {most} groups of {spec.max_features} terms: no small vocabulary")
-    rows = term_counts(with_grams(df, text, spec)).select(*keys, F.inline("_terms"))
+    counted = term_counts(with_grams(df, text, spec))
+    rows = explode_terms(counted, keys, "_terms", ["term", "tf"])
     stats = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if by:
         n_docs = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
@@ -198,7 +199,8 @@ def tfidf_long(
     keys = [key, by] if by else [key]
     weighed = weigh(df.select(*keys, text), text, vocabulary)
     terms = literal_array(vocabulary.plain_terms(), "string")
-    return weighed.select(*keys, F.inline(F.arrays_zip("_idx", "_w"))).select(
+    rows = explode_terms(weighed, keys, F.arrays_zip("_idx", "_w"), ["_idx", "_w"])
+    return rows.select(
         *keys, F.get(terms, F.col("_idx")).alias("term"), F.col("_w").alias("weight")
     )
 
@@ -244,7 +246,7 @@ def cluster_keywords(
         T.StructType([df.schema[cluster], T.StructField("_n", T.LongType())]),
     )
     sums = (
-        weighed.select(cluster, F.inline(F.arrays_zip("_idx", "_w")))
+        explode_terms(weighed, [cluster], F.arrays_zip("_idx", "_w"), ["_idx", "_w"])
         .groupBy(cluster, "_idx")
         .agg(F.sum("_w").alias("_sum"))
     )

@@ -25,6 +25,17 @@ def whole() -> WindowSpec:
     return Window.partitionBy(F.lit(1))
 
 
+def explode_terms(df: DataFrame, keep: Sequence[str], array: Column | str, names: Sequence[str]) -> DataFrame:
+    """One row per array element (struct fields side by side), empty arrays dropped.
+
+    The outer form with a filter on the result is deliberate: for the inner form Spark adds
+    ``size(array) > 0`` below the explode and repeats the array's whole computation there.
+    """
+    generate = F.inline_outer(array) if len(names) > 1 else F.explode_outer(array)
+    rows = df.select(*keep, generate.alias(*names))
+    return rows.where(F.col(names[0]).isNotNull())
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``order``.
 

@@ -15,7 +15,7 @@ from feedback_engine import schemas as S
 from feedback_engine.functions import scalars, text
 from feedback_engine.functions.wordlists import PREVIEW_CHARS
 from feedback_engine.operators.prepare import union_by_name
-from feedback_engine.operators.ranking import head_per_group, whole
+from feedback_engine.operators.ranking import explode_terms, head_per_group, whole
 from feedback_engine.operators.views import counts
 
 
@@ -87,13 +87,9 @@ def top_n_counts(
 
 def frequent_words(df: DataFrame, n: int = 10, sentiment: str = "predicted_label") -> DataFrame:
     """Top words of the clean text per class (three letters or more, not only digits)."""
-    words = (
-        df.where(F.col(sentiment).isin(*S.LABELS))
-        .select(
-            F.col(sentiment).alias("sentiment"),
-            F.explode(F.split("clean_text", r"\s+")).alias("word"),
-        )
-        .where(text.is_keyword(F.col("word")))
+    rows = df.where(F.col(sentiment).isin(*S.LABELS)).withColumn("sentiment", F.col(sentiment))
+    words = explode_terms(rows, ["sentiment"], F.split("clean_text", r"\s+"), ["word"]).where(
+        text.is_keyword(F.col("word"))
     )
     grouped = counts(words, "sentiment", "word")
     return head_per_group(grouped, ["sentiment"], [F.desc("n"), F.col("word")], n)

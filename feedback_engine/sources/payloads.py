@@ -33,7 +33,7 @@ def flatten_search_results(df: DataFrame, payload: str = "payload") -> DataFrame
     """Search pages to video rows; items without a video id are dropped."""
     page = F.from_json(payload, SEARCH_PAYLOAD)
     items = df.withColumn("_page", page).select(
-        *[c for c in df.columns if c != payload], F.posexplode("_page.items").alias("item_rank", "_i")
+        *[c for c in df.columns if c != payload], F.posexplode_outer("_page.items").alias("item_rank", "_i")
     )
     snippet = "_i.snippet"
     return items.where(F.coalesce("_i.id.videoId", F.lit("")) != "").select(
