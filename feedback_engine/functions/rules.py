@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedback_engine.functions import wordlists as W
+from feedback_engine.functions.scalars import let
 from feedback_engine.functions.text import format_keyword, transliterate
 from feedback_engine.schemas import MIXED, NEGATIVE, NEUTRAL, NO_TEXT, OTHER_THEMES, POSITIVE
 
@@ -42,11 +43,12 @@ def classify_theme(
     """
     haystack = F.lower(text) if accent_sensitive else transliterate(text)
     flags = "(?U)" if accent_sensitive else ""
-    matched = first_match(
-        [(haystack.rlike(flags + pattern), F.lit(name)) for name, pattern in rules],
-        F.lit(OTHER_THEMES),
-    )
-    return F.when(text.isNull(), F.lit(NO_TEXT)).otherwise(matched)
+
+    def first_theme(hay: Column) -> Column:
+        hits = [(hay.rlike(flags + pattern), F.lit(name)) for name, pattern in rules]
+        return first_match([(hay.isNull(), F.lit(NO_TEXT)), *hits], F.lit(OTHER_THEMES))
+
+    return let(haystack, first_theme)
 
 
 def theme_action(theme: Column, accent_sensitive: bool = False) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,11 +81,34 @@ def index_label(index: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in LABELS]), index.cast("int"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used inside a lambda may be inlined there and computed once per element; a
+    lambda variable never is.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def scaled_to_one(values: Column) -> Column:
+    """Array divided by its Euclidean length; a zero array stays zero."""
+    length = F.sqrt(array_sum(F.transform(values, lambda x: x * x)))
+    safe = F.when(length > 0, length).otherwise(F.lit(1.0))
+    return let(safe, lambda n: F.transform(values, lambda x: x / n))
+
+
 def softmax(logits: Column) -> Column:
     """Shift by the maximum before the exponential, so that large logits do not overflow."""
-    powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+
+    def shares(powers: Column) -> Column:
+        return let(array_sum(powers), lambda total: F.transform(powers, lambda x: x / total))
+
+    powers = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(powers, shares)
 
 
 def argmax(values: Column) -> Column:

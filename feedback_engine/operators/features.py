@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedback_engine.functions.scalars import scaled_to_one
 from feedback_engine.functions.text import drop_stopwords, stopword_set, tokenize
 from feedback_engine.operators.ranking import explode_terms, head_per_group, head_per_group_large
 from feedback_engine.session import scratch_path
@@ -111,6 +112,15 @@ class Vocabulary:
     idf: tuple[float, ...]
     group_sizes: dict
     by: str | None = None
+    _cache: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def counter(self) -> CountVectorizerModel:
+        """The JVM lookup, built once per vocabulary."""
+        if "counter" not in self._cache:
+            self._cache["counter"] = CountVectorizerModel.from_vocabulary(
+                list(self.terms), inputCol="_grams", outputCol="_tf"
+            )
+        return self._cache["counter"]
 
     def plain_terms(self) -> list[str]:
         return [t.rsplit(_GROUP_MARK, 1)[-1] for t in self.terms]
@@ -168,9 +178,7 @@ def weigh(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     if not vocabulary.terms:
         empty = F.array().cast
         return rows.withColumns({"_idx": empty("array<int>"), "_w": empty("array<double>")}).drop("_grams")
-    counter = CountVectorizerModel.from_vocabulary(
-        list(vocabulary.terms), inputCol="_grams", outputCol="_tf"
-    )
+    counter = vocabulary.counter()
     idf = literal_array(vocabulary.idf, "double")
     counted = counter.transform(rows).withColumn("_u", F.unwrap_udt("_tf"))
 
@@ -183,12 +191,7 @@ def weigh(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
         F.col("_u.indices").alias("_idx"),
         F.zip_with("_u.values", "_u.indices", weight).alias("_raw"),
     )
-    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x * x))
-    return (
-        raw.withColumn("_len", length)
-        .withColumn("_w", F.transform("_raw", lambda x: x / F.col("_len")))
-        .drop("_raw", "_len")
-    )
+    return raw.withColumn("_w", scaled_to_one(F.col("_raw"))).drop("_raw")
 
 
 def tfidf_long(

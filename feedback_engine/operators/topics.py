@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from feedback_engine import schemas as S
 from feedback_engine.functions import rules
+from feedback_engine.functions.scalars import scaled_to_one
 from feedback_engine.operators.features import (
     SPECS,
     TfidfSpec,
@@ -29,12 +30,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def unit(values: Column) -> Column:
-    """Array scaled to length one; a zero array stays zero."""
-    length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(values, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
-
-
 def pca_normalize(df: DataFrame, vector: str = "features", components: int = 24) -> DataFrame:
     """Replace the vector by an array column: centred PCA scores scaled to length one.
 
@@ -47,13 +42,13 @@ def pca_normalize(df: DataFrame, vector: str = "features", components: int = 24)
     k = min(components, size, n - 1)
     if n <= 2 or size <= 2 or k < 2:
         values = vector_to_array(vector)
-        return df.withColumn("_x", values).withColumn(vector, unit(F.col("_x"))).drop("_x")
+        return df.withColumn("_x", values).withColumn(vector, scaled_to_one(F.col("_x"))).drop("_x")
     projected = PCA(k=k, inputCol=vector, outputCol="_pc").fit(df).transform(df)
     mean = projected.select(Summarizer.mean(F.col("_pc")).alias("m")).first()["m"]
     centre = F.array(*[F.lit(float(x)) for x in mean])
     centred = F.zip_with(vector_to_array("_pc"), centre, lambda x, m: x - m)
     out = projected.withColumn("_x", centred).drop("_pc", vector)
-    return out.withColumn(vector, unit(F.col("_x"))).drop("_x")
+    return out.withColumn(vector, scaled_to_one(F.col("_x"))).drop("_x")
 
 
 def semantic_clusters(
