@@ -49,8 +49,8 @@ def format_int(n: Column) -> Column:
 
 
 def format_pct(share: Column) -> Column:
-    """One decimal percent."""
-    return F.format_string("%.1f%%", share * 100)
+    """One decimal percent; null stays null (a format string would print the word)."""
+    return F.when(share.isNotNull(), F.format_string("%.1f%%", share * 100))
 
 
 def format_span(start: Column, end: Column) -> Column:
