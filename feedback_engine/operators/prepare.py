@@ -49,7 +49,7 @@ def fill_strip(value: Column, default: str) -> Column:
 
 
 def to_bronze(df: DataFrame, feed: str) -> DataFrame:
-    return conform(default_source(first_alias(df, S.BRONZE_ALIASES), feed), S.BRONZE)
+    return default_source(conform(first_alias(df, S.BRONZE_ALIASES), S.BRONZE), feed)
 
 
 def prepare_silver(df: DataFrame) -> DataFrame:

@@ -24,7 +24,10 @@ def format_of(path: str) -> str:
 
 
 def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """csv (header), parquet or json by extension. Pass a schema to skip inference."""
+    """csv (header), parquet or json by extension. Pass a schema to skip inference.
+
+    An empty CSV cell reads as null.
+    """
     kind = format_of(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
