@@ -110,8 +110,9 @@ def test_full_job(spark, tmp_path):
     ]
     feed = spark.createDataFrame(data, "record_id string, published_at timestamp, raw_text string, rating double, label string")
     layers = jobs.Layers(spark, str(tmp_path / "lake"))
-    for _ in range(2):  # a second run leaves one copy
-        tables = jobs.full_job(layers, {"google_play": feed}, spec=TfidfSpec(200), topic_spec=TfidfSpec(50))
+    jobs.bronze_job(layers, {"google_play": feed})  # the full run replaces this copy
+    tables = jobs.full_job(layers, {"google_play": feed}, spec=TfidfSpec(200), topic_spec=TfidfSpec(50))
+    assert layers.read("bronze", "records").count() == 21
     assert {n: t.count() for n, t in tables.items() if n != "topic_analysis"} == {
         "reviews_cleaned": 21, "sentiment_analysis": 21, "model_metrics": 3,
     }
