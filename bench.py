@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up and then ``RUNS`` times; the median counts (a run over 15 s is taken as it is). Results go to the
+Each query runs once to warm up, then ``RUNS`` times; a run over 15 s is taken as it is. Results go to the
 noop sink, so that whole tables are computed and nothing is collected.
 """
 
@@ -14,7 +14,7 @@ import time
 from feedback_engine import catalog
 from feedback_engine.session import local_session
 
-RUNS = 2
+RUNS = 1
 QUERIES = (
     "vw_source_summary",
     "rpt_monthly_sentiment",
