@@ -5,14 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(app: str = "feedback_engine", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """Session for tests and benches. A cluster brings its own session instead."""
-    spark = (
+    """Session for tests and benches. A cluster brings its own session instead.
+
+    A scratch folder of its own is set only where the settings name none.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,18 +25,19 @@ def local_session(app: str = "feedback_engine", cores: str = "*", partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if not SparkConf().contains(CHECKPOINT_KEY):
+        builder = builder.config(CHECKPOINT_KEY, tempfile.mkdtemp(prefix="feedback-scratch-"))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder every executor can reach; the session names it, tests get a temporary one."""
+    """Folder every executor can reach. The session must name it; nothing is invented here."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="feedback-scratch-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
