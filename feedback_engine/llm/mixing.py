@@ -5,8 +5,8 @@ whole part of the rate is taken at once. The fraction left is a copy probability
 to round it: a pair moves probability between its two members at random, in the ratio of their sizes, until one
 of them is sure (0 or 1). Every document keeps its own probability, and the words a source takes stay
 the same at each step. A block of about ``BLOCK`` documents is folded this way to one document that is still
-open; the open ones of all blocks fold again, level by level, until a source has one, which is drawn.
-So a source misses its target by less than the size of one document; the longest documents of a block pair
+open; the open ones of all blocks fold again, level by level, until a source has one, which goes to the nearer side.
+So a source misses its target by at most half the size of one document; the longest documents of a block pair
 first, so the one left is mostly short.
 
 Blocks come from a hash of the id, so a source with a third of all rows is as many blocks as it needs.
@@ -116,8 +116,7 @@ def round_copies(open_rows: DataFrame, most_docs: int, seed: int, block: int = B
         decided.append(out.where(sure).withColumn("extra", F.round("p").cast("long")))
         level = out.where(~sure).withColumn("h", F.xxhash64(F.col("h"), F.lit(seed + len(decided))))
         if blocks == 1:
-            drawn = (unit(seed, F.col("h")) < F.col("p")).cast("long")
-            decided.append(level.withColumn("extra", drawn))
+            decided.append(level.withColumn("extra", (F.col("p") >= 0.5).cast("long")))
             break
         count = blocks
     result = decided[0]
