@@ -9,9 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from feedback_engine.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from feedback_engine.llm.common import ship_code
+from feedback_engine.llm import (
+    ann,
+    exact_dedup,
+    language_id,
+    licenses,
+    main_text,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    token_counts,
+)
+from feedback_engine.llm.common import semi_by_id, ship_code
 from feedback_engine.plans.adapters import read_table
+from feedback_engine.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,11 +45,21 @@ def register(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@register("op1_permutation_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 @register("op2_minhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@register("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 @register(
     "op4_exact_dedup",
     r"""
@@ -55,11 +77,36 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@register("op5_html_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+@register("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 @register("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), packing.public_vocabulary())
 
 
+@register("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, their exact copies deleted; the second batch is committed twice and counts once."""
+    docs = read_table(spark, sf_dir, "documents")
+    vocabularies = {"byte_bpe_50k": packing.public_vocabulary()}
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "token-rollup"))
+    rollup.commit("load", token_counts.delta(token_counts.counted(docs, vocabularies), 1))
+    copies = materialize(exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id"), "copies")
+    gone = semi_by_id(docs, copies, "doc_id", copies.count())
+    removed = materialize(token_counts.delta(token_counts.counted(gone, vocabularies), -1), "removed")
+    for _ in range(2):
+        rollup.commit("exact-copies", removed)
+    return rollup.totals()
+
+
 @register("op9_source_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(read_table(spark, sf_dir, "documents"))
