@@ -22,7 +22,8 @@ from feedback_engine.llm.bpe import load
 from feedback_engine.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
+MOST_BUCKETS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -136,7 +137,7 @@ def _runs(plan: Sequence[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
 
 def ranked(table: DataFrame, n_rows: int) -> DataFrame:
     """Adds ``rank``: the number of a piece among those of equal length, from 0."""
-    buckets = max(1, -(-n_rows // ROWS_PER_BUCKET))
+    buckets = min(MOST_BUCKETS, max(1, -(-n_rows // ROWS_PER_BUCKET)))
     dealt = table.withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
     )
