@@ -8,9 +8,11 @@ values (see ``needed``), so they meet in a list even if each posts only its rare
 them: values that many documents share (common passages) are posted only by documents that consist of little else.
 A list never emits all its pairs at first: its members pair with one centre. Estimates from the union of two
 sketches filter these pairs, and exact Jaccard on full shingle sets confirms them. Confirmed links are contracted to
-components by hash joins. Lists that then still hold several components pair across components
-only, again with a filter and an exact check, so no link between different texts is lost; large groups of copies have
-become one component by then.
+components by hash joins. Lists that then still hold several components pair across components only, again with a
+filter and an exact check, so no link between different texts is lost; large groups of copies have become
+one component by then. Of long lists still open (members that share much, but less than a link takes), full sets
+are indexed by what sets them apart from the list's centre. What all members share then counts for nothing, and near
+copies of one text with changes of their own drop out before they become pairs. This step is exact.
 
 Documents are read in Arrow batches and hashed with numpy; what a task holds is bounded by a batch.
 """
@@ -31,6 +33,8 @@ from feedback_engine.session import materialize
 K = 128
 WORDS = 5
 SHARE = 75  # percent of the union
+STARS = 3  # centres that lists try before components pair
+SHORT_LIST = 16  # members of an open list that pair directly
 
 
 def needed(n: Column) -> Column:
@@ -181,6 +185,75 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.selectExpr("a node", "b label")
 
 
+def across_long_lists(members: DataFrame, docs: DataFrame, node_docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(centre, node, label) -> pairs (a, b) of different labels that can have Jaccard >= 0.75.
+
+    With D the shingles in which a set differs from the centre's, two sets differ from each other where their D
+    differ. Jaccard >= 0.75 means that they differ in at most (n_a + n_b) / 7 shingles, so D_a and D_b share at least
+    (d_a + d_b) / 2 with d = |D| - n / 7. Links to the centre are known: of two sets with different labels one is not
+    linked to it, which makes d_a + d_b positive. So such a pair shares a shingle of its D, and it appears only where
+    the places of the shared shingle in both D, rarest first, leave room for enough of them.
+    """
+    nodes = members.select("node").union(members.select(F.col("centre").alias("node"))).distinct()
+    chosen = materialize(nodes.join(node_docs, "node"), "open-nodes")
+    texts = semi_by_id(
+        docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")),
+        chosen.select("id"), "id", chosen.count(),
+    ).dropDuplicates(["id"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for s in sets_of(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "vals"])
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, centre = batch.column(3), batch.column(4)
+            apart = [
+                np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)
+                for x, y in zip(own, centre, strict=True)
+            ]
+            sizes = pa.array([len(x.values) for x in own], pa.int64())
+            yield pa.record_batch(
+                [*batch.columns[:3], sizes, pa.array([len(x) for x in apart], pa.int64()), pa.array(apart, pa.list_(pa.int64()))],
+                ["centre", "node", "label", "n", "n_apart", "apart"],
+            )
+
+    sets = materialize(
+        texts.join(chosen, "id").select("node", "text").mapInArrow(hashed, "node long, vals array<long>"), "open-sets"
+    )
+    both = members.join(sets, "node").join(sets.selectExpr("node centre", "vals of_centre"), "centre")
+    apart = both.select("centre", "node", "label", "vals", "of_centre").mapInArrow(
+        differ, "centre long, node long, label long, n long, n_apart long, apart array<long>"
+    )
+    rows = materialize(
+        apart.select("centre", "node", "label", "n", "n_apart", F.explode("apart").alias("v")), "open-shingles"
+    )
+    often = rows.groupBy("centre", "v").agg(F.count("*").alias("df")).where("df > 1")
+    common = rows.join(often, ["centre", "v"]).groupBy("centre", "node", "label", "n", "n_apart").agg(
+        F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by_rarity")
+    )
+    alone = F.col("n_apart") - F.size("by_rarity")  # shingles of one set come first
+    posted = common.select(
+        "centre", "node", "label", "n", "n_apart", alone.alias("alone"), F.posexplode("by_rarity").alias("at", "p")
+    ).select(
+        "centre", "node", "label", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("p.v").alias("v"), "n_apart",
+        (F.col("n_apart") - F.col("n") / 7).alias("d"),
+    )
+    # no partner has d below -n / 7, nor n above the own one / 0.75
+    posted = posted.where(F.col("n_apart") - F.col("at") >= (F.col("d") - F.col("n") * (100 / SHARE / 7)) / 2 - 1e-6)
+    posted = materialize(posted, "open-postings")
+    left = posted.selectExpr("centre", "v", "node a", "label la", "n na", "n_apart - at ra", "d da")
+    right = posted.selectExpr("centre", "v", "node b", "label lb", "n nb", "n_apart - at rb", "d db")
+    enough = F.least("ra", "rb") >= (F.col("da") + F.col("db")) / 2 - 1e-6
+    pairs = left.join(
+        right,
+        (left["centre"] == right["centre"]) & (left["v"] == right["v"]) & (F.col("a") < F.col("b"))
+        & (F.col("la") != F.col("lb")) & enough & _size_fits("na", "nb"),
+    )
+    return pairs.select("a", "b")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -203,27 +276,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node_docs = groups.select("node", "id")
 
     posted = materialize(postings(nodes), "postings")
-    lists = posted.groupBy("v").agg(F.count("*").alias("members"), F.min(F.struct("n", "node")).alias("centre"))
-    lists = materialize(lists.where("members > 1").selectExpr("v", "members", "centre.node c", "centre.n nc"), "lists")
     n_posted = posted.count()
-    stars = (
-        join_counted(posted, lists, ["v"], "members", n_posted, F.col("node"))
-        .where("c is not null and c <> node").where(_size_fits("n", "nc"))
-        .selectExpr("least(node, c) a", "greatest(node, c) b").distinct()
-    )
-    tried = materialize(stars, "pairs")
-    passed = materialize(estimated(tried, nodes), "estimated")
-    links = materialize(confirmed(passed, docs, node_docs, id_col, text_col), "confirmed")
-    labels = components(links)
+    labels = links = tried = lists = None
+    for turn in range(STARS):
+        # a list's first centre is its smallest set; later ones differ from list to list, only components count then
+        marked = posted.withColumn("label", F.col("node")) if labels is None else _labelled(posted, labels)
+        first = F.struct("n", "node") if labels is None else F.struct(F.xxhash64("node", "v", F.lit(turn)).alias("h"), "n", "node")
+        centred = marked.groupBy("v").agg(
+            F.count("*").alias("members"), F.min(F.struct(first.alias("by"), "label")).alias("centre"),
+            F.min("label").alias("low"), F.max("label").alias("high"),
+        )
+        centred = centred.where("low <> high").selectExpr("v", "members", "centre.by.node c", "centre.by.n nc", "centre.label lc")
+        centred = materialize(centred, "lists")
+        lists = lists if lists is not None else centred
+        stars = (
+            join_counted(marked, centred, ["v"], "members", n_posted, F.col("node"))
+            .where("c is not null and label <> lc").where(_size_fits("n", "nc"))
+            .selectExpr("least(node, c) a", "greatest(node, c) b").distinct()
+        )
+        stars = materialize(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "pairs")
+        passed = materialize(estimated(stars, nodes), "estimated")
+        found = materialize(confirmed(passed, docs, node_docs, id_col, text_col), "confirmed")
+        tried = stars if tried is None else tried.union(stars)
+        links = found if links is None else links.union(found)
+        labels = components(links)
 
     # lists that still hold several components
     marked = _labelled(posted, labels)
     mixed = marked.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-    open_lists = mixed.where("low <> high").select("v")
-    members = materialize(marked.join(open_lists, "v"), "open-lists")
-    left, right = members.selectExpr("v", "node a", "n na", "label la"), members.selectExpr("v", "node b", "n nb", "label lb")
-    across = left.join(right, "v").where("a < b and la <> lb").where(_size_fits("na", "nb"))
-    rest = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    open_lists = materialize(mixed.where("low <> high").select("v", "members"), "open-lists")
+    short = marked.join(open_lists.where(F.col("members") <= SHORT_LIST), "v")
+    short = materialize(short.select("v", "node", "n", "label"), "short-lists")
+    left, right = short.selectExpr("v", "node a", "n na", "label la"), short.selectExpr("v", "node b", "n nb", "label lb")
+    across = left.join(right, "v").where("a < b and la <> lb").where(_size_fits("na", "nb")).select("a", "b")
+    long = open_lists.where(F.col("members") > SHORT_LIST).join(lists.selectExpr("v", "c centre"), "v").select("v", "centre")
+    of_long = materialize(marked.join(long, "v").select("centre", "node", "label").distinct(), "long-lists")
+    across = across.union(across_long_lists(of_long, docs, node_docs, id_col, text_col))
+    rest = across.distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "pairs-across")
     passed = materialize(estimated(rest, nodes), "estimated")
     more = confirmed(passed, docs, node_docs, id_col, text_col)
