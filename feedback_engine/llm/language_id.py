@@ -54,14 +54,19 @@ class TextModel:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> TextModel:
     """Naive Bayes from at most ``per_language`` whole texts of each of the MOST_LANGUAGES most frequent labels.
 
-    Rows are chosen by a hash of their text, so any partitioning gives the same model. Null labels and texts take no
+    Rows are chosen by a hash of all columns, so any partitioning gives the same model. Null labels and texts take no
     part. No labelled row at all gives a model that knows no language and rejects everything.
     """
-    rows = labelled.select(F.lower(F.col(f"`{lang_col}`")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where(
-        "lang is not null and text is not null"
-    )
-    chosen = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    sample = rows.withColumn("at", F.row_number().over(chosen)).where(F.col("at") <= per_language).select("lang", "text")
+    rows = labelled.select(
+        F.lower(F.col(f"`{lang_col}`")).alias("lang"), F.col(f"`{text_col}`").alias("text"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]).alias("h"),
+    ).where("lang is not null and text is not null")
+    # only hashes are ranked, so no text is shuffled: a language's cut is the hash of its last chosen row
+    chosen = Window.partitionBy("lang").orderBy("h")
+    ranked = rows.select("lang", "h").withColumn("at", F.row_number().over(chosen)).where(F.col("at") <= per_language)
+    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut"), F.count("*").alias("n"))
+    cuts = cuts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sample = rows.join(F.broadcast(cuts), "lang").where("h <= cut").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
