@@ -169,7 +169,7 @@ def theme_action(spark, sf_dir):
 # ---- topic labels: the first words of each text play the keyword list ----------------------
 
 KEYWORDS = f"""WITH {Q.docs(label=False)}, {Q.reviews()}, k AS (
-      SELECT record_id, list_slice({Q.words(Q.normalize("coalesce(raw_text, '')"))}, 1, 5) AS kw,
+      SELECT record_id, {Q.words(Q.normalize("coalesce(raw_text, '')"))} AS kw,
         CASE length(record_id) % 3 WHEN 0 THEN 'Positivo' WHEN 1 THEN 'Negativo' ELSE 'Misto' END AS signal
       FROM (SELECT record_id, raw_text FROM docs UNION ALL SELECT record_id, raw_text FROM reviews)),
     j AS (SELECT *, array_to_string(kw, ' ') AS t FROM k)"""
@@ -197,7 +197,7 @@ def keyword_rows(spark, sf_dir):
     turn = F.length("record_id") % 3
     return both_texts(spark, sf_dir).select(
         "record_id",
-        F.slice(words, 1, 5).alias("kw"),
+        words.alias("kw"),
         F.when(turn == 0, S.POSITIVE).when(turn == 1, S.NEGATIVE).otherwise(S.MIXED).alias("signal"),
     )
 

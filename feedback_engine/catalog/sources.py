@@ -23,7 +23,7 @@ def _round_trip(df, name: str):
     for suffix in files.FORMATS:
         path = scratch_path(df.sparkSession, name) + suffix
         files.write_by_suffix(df, path)
-        back = files.read_by_suffix(df.sparkSession, path, df.schema)
+        back = files.read_by_suffix(df.sparkSession, path, df.schema, multiline=True)
         frames.append(back.withColumn("format", F.lit(suffix[1:])))
     return P.union_by_name(frames)
 
@@ -69,7 +69,7 @@ def complaint_csv(spark, sf_dir):
     path = scratch_path(spark, "complaints")
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     feed.write.csv(path, header=True, sep=";", quote='"', escape='"', **keep)
-    raw = files.read_complaint_csv(spark, f"{path}/*.csv", schema=feed.schema)
+    raw = files.read_complaint_csv(spark, f"{path}/*.csv", schema=feed.schema, multiline=True)
     return raw.groupBy(
         F.col("Nome Fantasia").alias("company"), F.col("`Situação`").alias("status")
     ).agg(

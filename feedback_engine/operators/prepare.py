@@ -75,7 +75,7 @@ def prepare_gold_metrics(df: DataFrame) -> DataFrame:
     observations = F.trim(F.concat(parts[0], F.lit(" "), parts[1], F.lit(" "), parts[2]))
     out = df.withColumns(
         {
-            "run_id": F.coalesce(optional("run_id"), F.uuid()),
+            "run_id": F.coalesce(optional("run_id"), F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))),
             "vectorizer": F.coalesce(
                 optional("vectorizer"), F.when(neural, "bertimbau").otherwise("tfidf")
             ),

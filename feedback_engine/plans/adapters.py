@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from feedback_engine import schemas as S
 from feedback_engine.functions import rules
 from feedback_engine.functions.wordlists import UNCERTAIN_CONFIDENCE
-from feedback_engine.session import spread
 
 # The review texts, picked by o_orderkey % 12 (the last two are blank and null).
 PHRASES = (
@@ -136,7 +135,7 @@ def docs_view(
     spark: SparkSession, sf_dir: str, label: bool = True, dates: bool = False
 ) -> DataFrame:
     """Documents as records; ``label`` joins the quality marks, ``dates`` the event times."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     columns = {
         "record_id": F.concat(F.lit("d"), F.col("doc_id").cast("string")),
         "source": F.col("source"),

@@ -23,16 +23,18 @@ def format_of(path: str) -> str:
     return FORMATS[suffix]
 
 
-def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_by_suffix(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False
+) -> DataFrame:
     """csv (header), parquet or json by extension. Pass a schema to skip inference.
 
-    An empty CSV cell reads as null.
+    An empty CSV cell reads as null. ``multiline`` allows quoted line breaks in CSV; such a file is one task.
     """
     kind = format_of(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
-        # Quoted line breaks are part of a text; escapes follow RFC 4180.
-        return reader.csv(path, header=True, multiLine=True, quote='"', escape='"')
+        # Escapes follow RFC 4180.
+        return reader.csv(path, header=True, multiLine=multiline, quote='"', escape='"')
     if kind == "json":
         return reader.json(path)
     return reader.parquet(path)
@@ -52,11 +54,11 @@ def write_by_suffix(df: DataFrame, path: str) -> None:
 
 def read_complaint_csv(
     spark: SparkSession, pattern: str, own_output: str = "complaints_processed.csv",
-    schema: T.StructType | None = None,
+    schema: T.StructType | None = None, multiline: bool = False,
 ) -> DataFrame:
     """All ``;`` separated files of a folder with their file name, but not our own output."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    raw = reader.csv(pattern, header=True, sep=";", multiLine=True, quote='"', escape='"')
+    raw = reader.csv(pattern, header=True, sep=";", multiLine=multiline, quote='"', escape='"')
     return raw.withColumn("source_file", F.col("_metadata.file_name")).where(
         F.col("source_file") != own_output
     )

@@ -82,7 +82,7 @@ def test_formats_and_fallbacks(spark, tmp_path):
     for suffix in files.FORMATS:
         path = str(tmp_path / f"t{suffix}")
         files.write_by_suffix(df, path)
-        back = files.read_by_suffix(spark, path, df.schema)
+        back = files.read_by_suffix(spark, path, df.schema, multiline=True)
         # A CSV cell cannot tell an empty text from a missing one.
         expected = df.withColumn("raw_text", F.nullif("raw_text", F.lit(""))) if suffix == ".csv" else df
         assert rows(back, "record_id", "raw_text") == rows(expected, "record_id", "raw_text")

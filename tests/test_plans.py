@@ -52,3 +52,12 @@ def test_source_filter_is_planned_below_the_aggregate(spark, sf_dir):
     df = P.by_source(reviews_view(spark, sf_dir), "youtube").groupBy("source").count()
     text = plan(df)
     assert text.index("HashAggregate") < text.index("Filter")
+
+
+def test_scratch_folder_must_be_named(spark):
+    from types import SimpleNamespace
+
+    from feedback_engine.session import scratch_root
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default)))
