@@ -26,6 +26,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset("nav footer aside form button select option textarea label fieldset menu dialog head".split())
 _MAIN = frozenset(("article", "main"))
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption".split())
 _CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 _BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _BAD_NAMES = frozenset(
@@ -143,10 +144,11 @@ def costs(block: Block) -> tuple[float, float]:
     boilerplate = 0.5
     if block.favoured:
         content += 4.0
-    if block.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figcaption"):
+    prose = block.tag in _PROSE
+    if prose:
         content += 0.5
     boilerplate += 4.0 * (block.linked / size if size else 0.0)
-    if size < 25 and not block.favoured:
+    if size < 25 and not (block.favoured or prose):
         boilerplate += 1.0
     if block.text[0] in "©|»›" or not any(c.isalnum() for c in block.text):
         boilerplate += 1.5
@@ -162,7 +164,7 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
             if x != y:
                 break
             common += 1
-        return 1.5 / (1 + max(len(a.path), len(b.path)) - common)
+        return 1.0 / (1 + max(len(a.path), len(b.path)) - common)
 
     out, last_under = [], {}
     for i, block in enumerate(blocks):
