@@ -381,6 +381,12 @@ def train_select_refit(spark, sf_dir):
     return trained.metrics.withColumn("winner", F.col("model") == trained.winner)
 
 
+@register("ml_small_data_fallback")
+def small_data_fallback(spark, sf_dir):
+    trained = models.train_select_refit(clean_docs(spark, sf_dir), evaluation="split")
+    return trained.metrics.withColumn("winner", F.col("model") == trained.winner)
+
+
 @register("ml_score_table")
 def score_table(spark, sf_dir):
     docs = clean_docs(spark, sf_dir)
@@ -459,5 +465,4 @@ def negative_topics(spark, sf_dir):
 @register("ml_topic_pipeline")
 def topic_pipeline(spark, sf_dir):
     docs = clean_docs(spark, sf_dir).withColumnRenamed("label", "predicted_label")
-    spec = FT.TfidfSpec(512, sublinear=True, stopwords="topic_cluster")
-    return topics.topic_pipeline(docs, spec=spec)[1].drop("processed_at")
+    return topics.topic_pipeline(docs)[1].drop("processed_at")

@@ -8,7 +8,6 @@ from feedback_engine import schemas as S
 from feedback_engine.catalog import register
 from feedback_engine.catalog import sqltext as Q
 from feedback_engine.functions.text import clean_text, clean_tokens
-from feedback_engine.functions.wordlists import PREVIEW_CHARS
 from feedback_engine.operators import eda, insights, trends
 from feedback_engine.operators import reports as RP
 from feedback_engine.operators import themes as TH
@@ -87,12 +86,12 @@ def frequent_words(spark, sf_dir):
 @register(
     "rpt_comment_examples",
     f"""{T} SELECT predicted_label AS sentiment, record_id, strftime(published_at, '%d/%m/%Y') AS published_at,
-    'Nao informado' AS author, theme AS title, substr(coalesce(raw_text, ''), 1, {PREVIEW_CHARS}) AS comment
+    'Nao informado' AS author, theme AS title, coalesce(raw_text, '') AS comment
     FROM themed WHERE predicted_label IS NOT NULL QUALIFY row_number() OVER (
       PARTITION BY predicted_label ORDER BY published_at DESC NULLS LAST, record_id) <= 3""",
 )
 def comment_examples(spark, sf_dir):
-    return RP.comment_examples(themed_reviews(spark, sf_dir))
+    return RP.comment_examples(themed_reviews(spark, sf_dir), preview=None)
 
 
 @register(

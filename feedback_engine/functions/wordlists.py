@@ -182,5 +182,4 @@ UNCERTAIN_CONFIDENCE, UNCERTAIN_MARGIN = 0.55, 0.15
 SIGNAL_SHARE, SIGNAL_MARGIN = 0.55, 0.15
 NEUTRAL_GUARD = 0.05
 NEUTRAL_WARNING = 0.4
-SMALL_DATA_ROWS = 18
 PREVIEW_CHARS = 220

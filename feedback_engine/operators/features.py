@@ -22,15 +22,15 @@ from pyspark.sql import types as T
 from feedback_engine.functions.scalars import scaled_to_one
 from feedback_engine.functions.text import drop_stopwords, stopword_set, tokenize
 from feedback_engine.operators.ranking import explode_terms, head_per_group, head_per_group_large
-from feedback_engine.session import scratch_path
+from feedback_engine.session import materialize, scratch_path
 
-MAX_VOCABULARY = 1_000_000
+MAX_VOCABULARY = 1_000_000  # terms of all groups together that travel in the plan; beyond them ``group_weights``
 _GROUP_MARK = "\u0001"
 
 
 @dataclass(frozen=True)
 class TfidfSpec:
-    """Parameters of a TF-IDF fit. ``stopwords`` names a profile, removed before bigrams."""
+    """Parameters of a TF-IDF fit. ``stopwords`` names a profile, removed before bigrams with ``brand_terms``."""
 
     max_features: int
     min_df: int = 1
@@ -38,6 +38,7 @@ class TfidfSpec:
     sublinear: bool = False
     min_chars: int = 1
     stopwords: str | None = None
+    brand_terms: tuple[str, ...] = ()
 
 
 # The six parameter sets in use.
@@ -62,7 +63,9 @@ def spec_tokens(text: Column, spec: TfidfSpec) -> Column:
     if spec.min_chars > 1:
         tokens = F.filter(tokens, lambda t: F.length(t) >= spec.min_chars)
     if spec.stopwords:
-        tokens = drop_stopwords(tokens, stopword_set(spec.stopwords))
+        tokens = drop_stopwords(tokens, stopword_set(spec.stopwords, spec.brand_terms))
+    elif spec.brand_terms:
+        tokens = drop_stopwords(tokens, spec.brand_terms)
     return tokens
 
 
@@ -194,10 +197,48 @@ def weigh(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     return raw.withColumn("_w", scaled_to_one(F.col("_raw"))).drop("_raw")
 
 
+def too_many_groups(df: DataFrame, by: str, spec: TfidfSpec) -> bool:
+    """Whether the groups' vocabularies together may exceed ``MAX_VOCABULARY``."""
+    most = MAX_VOCABULARY // spec.max_features
+    return df.select(by).distinct().limit(most + 1).count() > most
+
+
+def group_weights(
+    df: DataFrame, keys: Sequence[str], text: str, spec: TfidfSpec, by: str
+) -> DataFrame:
+    """(keys, by, term, weight) for any number of groups, each fitted on its own.
+
+    The vocabularies stay a table that the counted terms join on (group, term); nothing reaches
+    the driver. The only window covers the terms of one row. Rows without a group have no terms.
+    """
+    counted = term_counts(with_grams(df.select(*keys, by, text), text, spec)).select(
+        *keys, by, "_terms", F.monotonically_increasing_id().alias("_row")
+    )
+    stored = materialize(counted, "term-counts")  # numbers of rows are fixed from here on
+    rows = explode_terms(stored, [*keys, by, "_row"], "_terms", ["term", "tf"])
+    sizes = stored.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    stats = rows.groupBy(by, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    usable = stats.join(sizes, by).where(
+        (F.col("df") >= spec.min_df) & (F.col("df") <= spec.max_df * F.col("_n"))
+    )
+    best = head_per_group_large(
+        usable, [by], [F.desc("cf"), F.col("term")], spec.max_features, F.col("term")
+    )
+    idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
+    damped = 1 + F.log("tf") if spec.sublinear else F.col("tf")
+    raw = rows.join(best.select(by, "term", idf.alias("_idf")), [by, "term"]).withColumn(
+        "_w", damped * F.col("_idf")
+    )
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_row")))
+    return raw.select(*keys, by, "term", (F.col("_w") / length).alias("weight"))
+
+
 def tfidf_long(
     df: DataFrame, key: str, text: str, spec: TfidfSpec, by: str | None = None
 ) -> DataFrame:
     """(key, term, weight) rows; with ``by`` the fit is per group."""
+    if by is not None and too_many_groups(df, by, spec):
+        return group_weights(df, [key], text, spec, by)
     vocabulary = fit_vocabulary(df, text, spec, by)
     keys = [key, by] if by else [key]
     weighed = weigh(df.select(*keys, text), text, vocabulary)
@@ -241,21 +282,27 @@ def cluster_keywords(
     cluster whose rows hold stopwords only has no keywords.
     """
     rows = df.where((F.trim(text) != "") & F.col(cluster).isNotNull()).select(cluster, text)
-    vocabulary = fit_vocabulary(rows, text, spec, by=cluster)
-    weighed = weigh(rows, text, vocabulary)
-    terms = literal_array(vocabulary.plain_terms(), "string")
-    sizes = df.sparkSession.createDataFrame(
-        [(k, n) for k, n in vocabulary.group_sizes.items()],
-        T.StructType([df.schema[cluster], T.StructField("_n", T.LongType())]),
-    )
-    sums = (
-        explode_terms(weighed, [cluster], F.arrays_zip("_idx", "_w"), ["_idx", "_w"])
-        .groupBy(cluster, "_idx")
-        .agg(F.sum("_w").alias("_sum"))
-    )
+    if too_many_groups(rows, cluster, spec):
+        weights = group_weights(rows, [], text, spec, cluster)
+        sums = weights.groupBy(cluster, "term").agg(F.sum("weight").alias("_sum"))
+        sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        vocabulary = fit_vocabulary(rows, text, spec, by=cluster)
+        weighed = weigh(rows, text, vocabulary)
+        terms = literal_array(vocabulary.plain_terms(), "string")
+        sizes = df.sparkSession.createDataFrame(
+            [(k, n) for k, n in vocabulary.group_sizes.items()],
+            T.StructType([df.schema[cluster], T.StructField("_n", T.LongType())]),
+        )
+        sums = (
+            explode_terms(weighed, [cluster], F.arrays_zip("_idx", "_w"), ["_idx", "_w"])
+            .groupBy(cluster, "_idx")
+            .agg(F.sum("_w").alias("_sum"))
+            .withColumn("term", F.get(terms, F.col("_idx")))
+        )
     scored = sums.join(sizes, cluster).select(
         cluster,
-        F.get(terms, F.col("_idx")).alias("term"),
+        "term",
         # Rounded for the ranking: sums of doubles depend on the order of addition.
         F.round(F.col("_sum") / F.col("_n"), 9).alias("score"),
     )

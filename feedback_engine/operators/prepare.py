@@ -217,11 +217,13 @@ def coerce_dates(df: DataFrame, column: str = "published_at") -> DataFrame:
     return df.withColumn(column, _timestamp(df, column)) if column in df.columns else df
 
 
-def preprocess_reviews(df: DataFrame, profile: str = "sentiment") -> DataFrame:
+def preprocess_reviews(
+    df: DataFrame, profile: str = "sentiment", brand_terms: Sequence[str] = ()
+) -> DataFrame:
     """Bronze to silver: clean the text, drop rows left empty, stamp the time."""
     return (
         df.withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
-        .withColumn("clean_text", text.clean_text(F.col("raw_text"), profile))
+        .withColumn("clean_text", text.clean_text(F.col("raw_text"), profile, brand_terms=brand_terms))
         .where(F.length("clean_text") > 0)
         .withColumn("processed_at", F.current_timestamp())
     )

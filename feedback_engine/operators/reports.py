@@ -96,21 +96,22 @@ def frequent_words(df: DataFrame, n: int = 10, sentiment: str = "predicted_label
 
 
 def comment_examples(
-    df: DataFrame, n: int = 3, sentiment: str = "predicted_label"
+    df: DataFrame, n: int = 3, sentiment: str = "predicted_label", preview: int | None = PREVIEW_CHARS
 ) -> DataFrame:
-    """Newest rows per class, undated last, text cut for display."""
+    """Newest rows per class, undated last; ``preview`` characters of the text, None for all of it."""
 
     def optional(name: str, default: Column) -> Column:
         return F.col(name) if name in df.columns else default
 
     title = optional("theme", F.lit("Sem titulo"))
+    comment = F.coalesce("raw_text", F.lit(""))
     rows = df.where(F.col(sentiment).isin(*S.LABELS)).select(
         F.col(sentiment).alias("sentiment"),
         "record_id",
         "published_at",
         optional("author", F.lit("Nao informado")).alias("author"),
         optional("title", title).alias("title"),
-        F.substring(F.coalesce("raw_text", F.lit("")), 1, PREVIEW_CHARS).alias("comment"),
+        (comment if preview is None else F.substring(comment, 1, preview)).alias("comment"),
     )
     order = [F.desc_nulls_last("published_at"), F.col("record_id")]
     return head_per_group(rows, ["sentiment"], order, n).select(

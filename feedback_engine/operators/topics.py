@@ -24,6 +24,7 @@ from feedback_engine.operators.ranking import keep_first, most_frequent, whole
 from feedback_engine.session import materialize
 
 SEED = 42
+FEW_CLUSTERS = 1_000  # means of at most 4,096 numbers each: 32 MB
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -98,16 +99,18 @@ def representative_example(
 ) -> DataFrame:
     """Row with the highest dot product with its cluster's mean vector, ties by key.
 
-    The means come from one aggregate (a vector per cluster); every row then meets its own
-    mean only.
+    The means come from one aggregate (a vector per cluster). Up to ``FEW_CLUSTERS`` of them are
+    broadcast, so that no cluster gathers in one task; more of them are joined by key.
     """
     rows = df.where(F.col(cluster).isNotNull()).select(
         cluster, key, text, F.col(vector).cast("array<double>").alias("_x")
     )
-    means = rows.groupBy(cluster).agg(
-        vector_to_array(Summarizer.mean(array_to_vector("_x"))).alias("_m")
+    means = materialize(
+        rows.groupBy(cluster).agg(vector_to_array(Summarizer.mean(array_to_vector("_x"))).alias("_m")),
+        "cluster-means",
     )
-    scored = rows.join(means, cluster).select(
+    few = means.count() <= FEW_CLUSTERS
+    scored = rows.join(F.broadcast(means) if few else means, cluster).select(
         cluster, key, text, F.round(dot(F.col("_x"), F.col("_m")), 9).alias("similarity")
     )
     return keep_first(scored, [cluster], [F.desc("similarity"), F.col(key)])

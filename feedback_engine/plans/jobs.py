@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +53,11 @@ def bronze_job(
     return layers.write(build_bronze(feeds, legacy), "bronze", "records")
 
 
-def silver_job(layers: Layers, bronze: DataFrame, profile: str = "sentiment") -> DataFrame:
+def silver_job(
+    layers: Layers, bronze: DataFrame, profile: str = "sentiment", brand_terms: Sequence[str] = ()
+) -> DataFrame:
     """Cleaned records; reports read this table, there is no second copy."""
-    cleaned = prepare.conform(prepare.preprocess_reviews(bronze, profile), S.SILVER)
+    cleaned = prepare.conform(prepare.preprocess_reviews(bronze, profile, brand_terms), S.SILVER)
     return layers.write(cleaned, "silver", "records")
 
 
@@ -64,9 +66,10 @@ def training_job(
     silver: DataFrame,
     benchmark: DataFrame | None = None,
     spec: TfidfSpec = SPECS["sentiment"],
+    evaluation: str = "cv",
 ) -> tuple[DataFrame, DataFrame]:
     """Train, score every row, and write the model summary."""
-    trained = models.train_select_refit(silver, spec=spec)
+    trained = models.train_select_refit(silver, spec=spec, evaluation=evaluation)
     scored = layers.write(models.score_table(silver, trained.model), "gold", "scored")
     rows = M.summary_rows(trained.metrics, trained.winner, "classic_runtime")
     summary = prepare.conform(M.merge_summaries(rows, benchmark), S.MODEL_SUMMARY)
@@ -80,8 +83,10 @@ def topics_job(
     k: int = 8,
     embedding: str | None = None,
     spec: TfidfSpec = SPECS["topic_fallback"],
+    brand_terms: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Topics over the scored rows, written as members and summary."""
+    """Topics over the scored rows, written as members and summary; no term contains a brand term."""
+    spec = replace(spec, brand_terms=tuple(brand_terms) or spec.brand_terms)
     if method == "semantic":
         members, summary = topics.topic_pipeline(scored, k=k, embedding=embedding, spec=spec)
     elif method == "negatives":

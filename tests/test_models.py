@@ -95,7 +95,7 @@ def test_svc_has_no_confidence(spark):
 
 
 def test_small_and_degenerate_data(spark):
-    small = models.train_select_refit(labelled(spark, 4))  # 12 rows
+    small = models.train_select_refit(labelled(spark, 4), evaluation="split")  # 12 rows
     row = small.metrics.first()
     assert small.winner == "LogisticRegression" and row["roc_auc_macro"] is None
     one_class = labelled(spark, 3).where(F.col("label") == POS)
@@ -105,7 +105,11 @@ def test_small_and_degenerate_data(spark):
         models.train_select_refit(one_class.limit(0))
     lonely = labelled(spark, 3).where((F.col("label") == POS) | (F.col("record_id") == "Neg0"))
     with pytest.raises(ValueError, match="one class"):
+        models.train_select_refit(lonely, evaluation="split")
+    with pytest.raises(ValueError, match="cannot be folded"):
         models.train_select_refit(lonely)
+    with pytest.raises(ValueError, match="unknown evaluation"):
+        models.train_select_refit(lonely, evaluation="none")
 
 
 def test_noisy_neutral(spark):
@@ -169,3 +173,36 @@ def test_pca_of_two_rows_only_scales(spark):
 def test_tfidf_of_empty_vocabulary(spark):
     df = spark.createDataFrame([("1", "de da do")], "record_id string, clean_text string")
     assert FT.tfidf_long(df, "record_id", "clean_text", FT.SPECS["topic_fallback"]).count() == 0
+
+
+def test_keywords_of_many_groups(spark):
+    """Beyond the groups whose vocabularies travel in the plan, the joined form gives the same."""
+    from feedback_engine.operators import features as FT
+
+    texts = ["pix caiu pix", "login falha senha", "cartao fatura alta", "app lento trava app"]
+    data = [(f"{g}-{i}", g, t) for g in range(400) for i, t in enumerate(texts[g % 4 :] + [f"caso g{g}"])]
+    df = spark.createDataFrame(data, "record_id string, g int, clean_text string")
+    spec = FT.SPECS["cluster_keywords"]
+    few = df.where("g < 8")
+    assert FT.too_many_groups(df, "g", spec) and not FT.too_many_groups(few, "g", spec)
+    want = {tuple(r)[:3] for r in FT.cluster_keywords(few, "g", "clean_text").collect()}
+    out = FT.cluster_keywords(df, "g", "clean_text").collect()
+    assert {tuple(r)[:3] for r in out if r["g"] < 8} == want
+    assert len({r["g"] for r in out}) == 400
+    plain = {(r["record_id"], r["term"]): r["weight"] for r in FT.tfidf_long(few, "record_id", "clean_text", spec, "g").collect()}
+    joined = FT.group_weights(few, ["record_id"], "clean_text", spec, "g").collect()
+    assert len(joined) == len(plain)
+    assert all(abs(plain[r["record_id"], r["term"]] - r["weight"]) < 1e-12 for r in joined)
+
+
+def test_brand_terms_are_no_terms(spark):
+    from dataclasses import replace
+
+    from feedback_engine.operators import features as FT
+
+    spec = replace(FT.SPECS["cluster_keywords"], brand_terms=("marca",))
+    df = spark.createDataFrame([("1", 0, "marca pix caiu"), ("2", 0, "pix marca caiu")], "record_id string, g int, clean_text string")
+    terms = {r["term"] for r in FT.cluster_keywords(df, "g", "clean_text", spec=spec).collect()}
+    assert terms == {"pix", "caiu", "pix caiu"}
+    silver = P.preprocess_reviews(df.withColumnRenamed("clean_text", "raw_text"), brand_terms=["marca"])
+    assert {r["clean_text"] for r in silver.collect()} == {"pix caiu"}
