@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def _grams_cte(spec: FT.TfidfSpec, rows: str = "cleaned", by: str = "'all'") ->
     if spec.min_chars > 1:
         kept = f"list_filter(tok, lambda w: length(w) >= {spec.min_chars})"
     if spec.stopwords:
-        kept = Q.drop_words(kept, W.STOPWORD_PROFILES[spec.stopwords])
+        kept = Q.drop_words(kept, W.STOPWORD_PROFILES[spec.stopwords] | set(spec.brand_terms))
     return f"""tk AS (SELECT record_id, {by} AS grp, {kept} AS k FROM {rows}),
     al AS (SELECT record_id, grp, unnest(list_concat(k, list_transform(list_zip(k[:-2], k[2:]),
         lambda p: p[1] || ' ' || p[2]))) AS term FROM tk),
@@ -98,6 +100,18 @@ def tfidf_by_group(spark, sf_dir):
     return FT.tfidf_long(docs, "record_id", "clean_text", FT.SPECS["cluster_keywords"], by="region")
 
 
+BRANDED = replace(FT.SPECS["topic_fallback"], brand_terms=("menton", "ntble", "thhein"))
+
+
+@register(
+    "ml_brand_terms",
+    f"{CLEAN}, {_tfidf_cte(BRANDED)} SELECT record_id, term, {Q.r6('weight')} AS weight FROM tfidf",
+)
+def brand_terms(spark, sf_dir):
+    """The topic terms without the caller's brand words."""
+    return FT.tfidf_long(clean_docs(spark, sf_dir, label=False), "record_id", "clean_text", BRANDED)
+
+
 @register(
     "ml_cluster_keywords",
     f"""{CLEAN}, filled AS (SELECT * FROM cleaned WHERE len(tok) > 0), {_tfidf_cte(FT.SPECS["cluster_keywords"], "filled", "source")},

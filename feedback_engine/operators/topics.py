@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -116,8 +119,11 @@ def representative_example(
     return keep_first(scored, [cluster], [F.desc("similarity"), F.col(key)])
 
 
-def keyword_lists(df: DataFrame, cluster: str, text: str, top_n: int = 5) -> DataFrame:
-    ranked = cluster_keywords(df, cluster, text, top_n)
+def keyword_lists(
+    df: DataFrame, cluster: str, text: str, top_n: int = 5, brand_terms: Sequence[str] = ()
+) -> DataFrame:
+    spec = replace(SPECS["cluster_keywords"], brand_terms=tuple(brand_terms))
+    ranked = cluster_keywords(df, cluster, text, top_n, spec)
     ordered = F.sort_array(F.collect_list(F.struct("rank", "term")))  # top_n entries
     return ranked.groupBy(cluster).agg(F.transform(ordered, lambda x: x["term"]).alias("_keywords"))
 
@@ -129,11 +135,12 @@ def describe_clusters(
     vector: str = "features",
     text: str = "clean_text",
     key: str = "record_id",
+    brand_terms: Sequence[str] = (),
 ) -> DataFrame:
     """One row per cluster: size, shares, signal, keywords, label, action, source, example."""
     parts = cluster_shares(df, cluster, sentiment)
     for part in (
-        keyword_lists(df, cluster, text),
+        keyword_lists(df, cluster, text, brand_terms=brand_terms),
         dominant_source(df, cluster),
         representative_example(df, cluster, vector, key, text),
     ):
@@ -206,8 +213,8 @@ def topic_pipeline(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with cluster columns and the topic summary.
 
-    Vectors come from an ``embedding`` column, else from TF-IDF. Rows without text stay
-    unclustered; without any text the summary is empty.
+    Vectors come from an ``embedding`` column, else from TF-IDF. The spec's brand terms are no keywords
+    either. Rows without text stay unclustered; without any text the summary is empty.
     """
     keep = [c for c in df.columns if c not in (*SCATTERED, "cluster_id")]
     rows = df.select(*keep)
@@ -226,7 +233,10 @@ def topic_pipeline(
     reduced = materialize(pca_normalize(vectors), "topic-reduced")
     assigned = materialize(semantic_clusters(reduced, k=k), "topic-assigned")
     clusters = materialize(
-        describe_clusters(assigned, sentiment=sentiment, text=text, key=key), "topic-clusters"
+        describe_clusters(
+            assigned, sentiment=sentiment, text=text, key=key, brand_terms=spec.brand_terms
+        ),
+        "topic-clusters",
     )
     members = assigned.select(*keep, "cluster_id").unionByName(empty, allowMissingColumns=True)
     return scatter_clusters(members, clusters), topic_summary(clusters, method)

@@ -90,7 +90,8 @@ def topics_job(
     if method == "semantic":
         members, summary = topics.topic_pipeline(scored, k=k, embedding=embedding, spec=spec)
     elif method == "negatives":
-        members, summary = topics.negative_topics(scored, k=k)
+        own = replace(SPECS["negative_topics"], brand_terms=tuple(brand_terms))
+        members, summary = topics.negative_topics(scored, k=k, spec=own)
     else:
         raise ValueError(f"unknown topic method: {method}")
     return layers.write(members, "gold", "topic_members"), layers.write(summary, "gold", "topics")
@@ -115,9 +116,10 @@ def full_job(
     legacy: DataFrame | None = None,
     spec: TfidfSpec = SPECS["sentiment"],
     topic_spec: TfidfSpec = SPECS["topic_fallback"],
+    brand_terms: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
     """All stages in order."""
-    silver = silver_job(layers, bronze_job(layers, feeds, legacy))
+    silver = silver_job(layers, bronze_job(layers, feeds, legacy), brand_terms=brand_terms)
     scored, summary = training_job(layers, silver, spec=spec)
-    members, topic_rows = topics_job(layers, scored, spec=topic_spec)
+    members, topic_rows = topics_job(layers, scored, spec=topic_spec, brand_terms=brand_terms)
     return publish_job(layers, silver, members, topic_rows, summary)
