@@ -69,7 +69,7 @@ class Rollup:
         """Write a batch's summed deltas; the same batch again takes the place of the earlier one."""
         both = reduce(DataFrame.unionByName, deltas)
         summed = both.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        summed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        summed.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def revise(self, batch: str, old: DataFrame, new: DataFrame) -> None:
         """Counts of revised documents: what they were goes, what they are comes."""
