@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from feedback_engine.llm import (
     ann,
+    collocations,
     exact_dedup,
     language_id,
     licenses,
     main_text,
     mixing,
     near_dedup,
+    oracles,
     packing,
     pii,
     token_counts,
@@ -128,4 +130,9 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(pages, model, "page_id", declared=declared, host=host, suffix=language_id.suffix_of(host))
 
 
+@register("op11_phrase_collocations", oracles.COLLOCATIONS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
