@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from feedback_engine.llm import (
+    alignment,
     ann,
     collocations,
     exact_dedup,
@@ -135,4 +136,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
+@register("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read_table(spark, sf_dir, "documents"), alignment.public_tokenizers())
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
