@@ -14,6 +14,7 @@ from feedback_engine.llm import (
     ann,
     collocations,
     exact_dedup,
+    jaccard_join,
     language_id,
     licenses,
     main_text,
@@ -141,4 +142,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(read_table(spark, sf_dir, "documents"), alignment.public_tokenizers())
 
 
+@register("op13_ngram_jaccard_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -31,11 +31,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_STEP = _powers(np.uint64(0xD6E8FEB86659FD93), WORDS)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _hash_chunk(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+def _hash_chunk(data: np.ndarray, bounds: np.ndarray, n_words: int) -> list[np.ndarray]:
     """``data``: bytes of several texts; ``bounds``: where each begins, and the end."""
+    step = _powers(_BASE, n_words)
     n_docs = len(bounds) - 1
     space = _SPACE[data]
     word = ~space
@@ -59,19 +60,19 @@ def _hash_chunk(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         if not len(own):
             out.append(np.zeros(0, np.uint64))
             continue
-        width = min(WORDS, len(own))
+        width = min(n_words, len(own))
         total = np.zeros(len(own) - width + 1, np.uint64)
         for j in range(width):
-            total += own[j : len(own) - width + 1 + j] * _STEP[j]
+            total += own[j : len(own) - width + 1 + j] * step[j]
         out.append(np.unique(_mix(total + np.uint64(width))))
     return out
 
 
-def sets_of(texts: pa.Array) -> list[np.ndarray]:
+def sets_of(texts: pa.Array, n_words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (uint64) of each text.
 
-    A-Z are lower-cased, words are runs of other bytes than 0x20 and 0x09-0x0D. A text with fewer than five words is one
-    shingle; null and word-less texts have none.
+    A-Z are lower-cased, words are runs of other bytes than 0x20 and 0x09-0x0D. A text with fewer than ``n_words`` words is
+    one shingle; null and word-less texts have none.
     """
     raw = [(t.as_py() or "").encode() for t in texts] if isinstance(texts, pa.ChunkedArray) else [
         (t or "").encode() for t in texts.to_pylist()
@@ -85,7 +86,7 @@ def sets_of(texts: pa.Array) -> list[np.ndarray]:
             end += 1
         bounds = np.zeros(end - at + 1, np.int64)
         np.cumsum([len(r) for r in raw[at:end]], out=bounds[1:])
-        out += _hash_chunk(np.frombuffer(b"".join(raw[at:end]), np.uint8), bounds)
+        out += _hash_chunk(np.frombuffer(b"".join(raw[at:end]), np.uint8), bounds, n_words)
         at = end
     return out
 
