@@ -384,9 +384,36 @@ def linear_svc(spark, sf_dir):
     return _fitted(spark, sf_dir, "LinearSVC")
 
 
-@register("ml_multinomial_nb")
+def _bayes_sql() -> str:
+    """Multinomial naive Bayes in closed form: smoothed sums of the weights by class, scores of all documents."""
+    spec = FT.SPECS["sentiment"]
+    score = lambda short: Q.r6(f"max(p) FILTER (short = '{short}')")
+    return f"""{CLEAN}, lab AS (SELECT * FROM cleaned WHERE label IN ({", ".join(f"'{x}'" for x in S.LABELS)})),
+    {_tfidf_cte(spec, "lab")},
+    ag AS (SELECT record_id, unnest(list_concat(tok, list_transform(list_zip(tok[:-2], tok[2:]), lambda p: p[1] || ' ' || p[2]))) AS term FROM cleaned),
+    aw AS (SELECT record_id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM ag JOIN vo USING (term) GROUP BY ALL),
+    an AS (SELECT record_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY record_id)) AS x FROM aw),
+    cls AS (SELECT label AS c, count(*) AS n FROM lab GROUP BY 1),
+    sums AS (SELECT label AS c, term, sum(weight) AS s FROM tfidf JOIN lab USING (record_id) GROUP BY ALL),
+    th AS (SELECT cls.c, vo.term, ln(coalesce(s, 0) + 0.35) - ln(sum(coalesce(s, 0) + 0.35) OVER (PARTITION BY cls.c)) AS lp
+      FROM cls CROSS JOIN vo LEFT JOIN sums ON sums.c = cls.c AND sums.term = vo.term),
+    mg AS (SELECT record_id, c, sum(x * lp) AS m FROM an JOIN th USING (term) GROUP BY ALL),
+    raw AS (SELECT d.record_id, cls.c, ln(cls.n / (SELECT count(*) FROM lab)) + coalesce(m, 0) AS z
+      FROM cleaned d CROSS JOIN cls LEFT JOIN mg ON mg.record_id = d.record_id AND mg.c = cls.c),
+    ex AS (SELECT *, exp(z - max(z) OVER (PARTITION BY record_id)) AS e FROM raw),
+    pr AS (SELECT *, e / sum(e) OVER (PARTITION BY record_id) AS p,
+      CASE c {" ".join(f"WHEN '{label}' THEN '{short}'" for label, short in M.SHORT.items())} END AS short FROM ex),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY p DESC, short) AS r FROM pr)
+    SELECT record_id, any_value(d.label) AS label, max(c) FILTER (r = 1) AS predicted_label, {Q.r6("max(p)")} AS confidence,
+      max(p) < 0.55 OR max(p) - max(p) FILTER (r = 2) < 0.15 AS is_uncertain,
+      {", ".join(f"{score(short)} AS score_{short}" for short in M.SHORT.values())}
+    FROM rk JOIN cleaned d USING (record_id) GROUP BY record_id"""
+
+
+@register("ml_multinomial_nb", _bayes_sql())
 def multinomial_nb(spark, sf_dir):
-    return _fitted(spark, sf_dir, "MultinomialNB")
+    scored = _fitted(spark, sf_dir, "MultinomialNB")
+    return scored.withColumns({c: F.round(c, 6) for c in ("confidence", *M.SCORES.values())})
 
 
 @register("ml_train_select_refit")
@@ -454,13 +481,17 @@ def _vectors(spark, sf_dir):
     )
 
 
-@register("ml_pca_normalize")
+@register(
+    "ml_pca_normalize",
+    """SELECT 'v' || vec_id AS record_id, least(24, len(embedding), (SELECT count(*) FROM embeddings) - 1)::INTEGER AS n_components,
+    CAST(1 AS DOUBLE) AS squared_length FROM embeddings""",
+)
 def pca_normalize(spark, sf_dir):
     rows = topics.pca_normalize(_vectors(spark, sf_dir))
     return rows.select(
         "record_id",
         F.size("features").alias("n_components"),
-        topics.dot(F.col("features"), F.col("features")).alias("squared_length"),
+        F.round(topics.dot(F.col("features"), F.col("features")), 6).alias("squared_length"),
     )
 
 

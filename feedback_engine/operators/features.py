@@ -249,6 +249,56 @@ def tfidf_long(
     )
 
 
+def stored_grams(df: DataFrame, keep: Sequence[str], text: str, spec: TfidfSpec, name: str) -> DataFrame:
+    """``keep`` and ``_grams``, written once: the only place where the text of a training set is split."""
+    return materialize(with_grams(df.select(*keep, text), text, spec).select(*keep, "_grams"), name)
+
+
+def left_out_vocabularies(
+    stored: DataFrame, spec: TfidfSpec, fold: str, left_out: Sequence[int | None], sizes: dict[int, int]
+) -> list[Vocabulary]:
+    """A vocabulary for each fold left out (None: no fold), from one count of the terms.
+
+    Document and corpus frequencies of all rows and of each fold are aggregated together; a fold's vocabulary
+    follows from the difference. ``sizes``: rows of each fold.
+    """
+    folds = [f for f in left_out if f is not None]
+    rows = explode_terms(term_counts(stored), [fold], "_terms", ["term", "tf"])
+    parts = [F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")]
+    for f in folds:
+        own = F.col(fold) == f
+        parts += [F.sum(own.cast("long")).alias(f"df_{f}"), F.sum(F.when(own, F.col("tf")).otherwise(0)).alias(f"cf_{f}")]
+    stats = materialize(rows.groupBy("term").agg(*parts), "term-statistics")
+    out = []
+    for f in left_out:
+        n = sum(sizes.values()) - (0 if f is None else sizes.get(f, 0))
+        df, cf = (F.col(c) if f is None else F.col(c) - F.col(f"{c}_{f}") for c in ("df", "cf"))
+        usable = stats.select("term", df.alias("df"), cf.alias("cf")).where(
+            (F.col("df") >= max(1, spec.min_df)) & (F.col("df") <= spec.max_df * n)
+        )
+        best = usable.orderBy(F.desc("cf"), "term").limit(spec.max_features).collect()  # at most max_features rows
+        picked = sorted((r["term"], math.log((1 + n) / (1 + r["df"])) + 1) for r in best)
+        out.append(Vocabulary(spec, tuple(t for t, _ in picked), tuple(w for _, w in picked), {None: n}))
+    return out
+
+
+def count_vectors(stored: DataFrame, terms: Sequence[str], name: str) -> DataFrame:
+    """Replaces ``_grams`` by ``terms`` and ``counts``: places in the sorted ``terms`` and how often; written once.
+
+    Rows are dealt evenly over the session's cores, as tens of passes will read them.
+    """
+    stored = stored.repartition(stored.sparkSession.sparkContext.defaultParallelism)
+    keep = [c for c in stored.columns if c != "_grams"]
+    if not terms:
+        nothing = {"terms": F.array().cast("array<int>"), "counts": F.array().cast("array<double>")}
+        return materialize(stored.select(*keep).withColumns(nothing), name)
+    counter = CountVectorizerModel.from_vocabulary(list(terms), inputCol="_grams", outputCol="_tf")
+    counted = counter.transform(stored).withColumn("_u", F.unwrap_udt("_tf"))
+    return materialize(
+        counted.select(*keep, F.col("_u.indices").alias("terms"), F.col("_u.values").alias("counts")), name
+    )
+
+
 def write_vectors(df: DataFrame, text: str, vocabulary: Vocabulary, name: str) -> DataFrame:
     """Rows plus a sparse ``features`` vector, written once to the shared folder.
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from feedback_engine import schemas as S
 from feedback_engine.functions import rules
 from feedback_engine.functions.scalars import scaled_to_one
+from feedback_engine.operators.decomposition import principal_directions, projected, sparse_parts
 from feedback_engine.operators.features import (
     SPECS,
     TfidfSpec,
@@ -37,8 +37,8 @@ def dot(a: Column, b: Column) -> Column:
 def pca_normalize(df: DataFrame, vector: str = "features", components: int = 24) -> DataFrame:
     """Replace the vector by an array column: centred PCA scores scaled to length one.
 
-    Projecting first and subtracting the projected mean equals centring first, and keeps
-    sparse input sparse. Two dimensions or two rows are too few: only the scaling is done.
+    ``df`` is read several times, once for each pass of the range finder; hand over a stored table.
+    Two dimensions or two rows are too few: only the scaling is done.
     """
     n, size = df.count(), df.select(F.unwrap_udt(vector).alias("u")).select(
         F.coalesce("u.size", F.size("u.values"))
@@ -46,13 +46,12 @@ def pca_normalize(df: DataFrame, vector: str = "features", components: int = 24)
     k = min(components, size, n - 1)
     if n <= 2 or size <= 2 or k < 2:
         values = vector_to_array(vector)
-        return df.withColumn("_x", values).withColumn(vector, scaled_to_one(F.col("_x"))).drop("_x")
-    projected = PCA(k=k, inputCol=vector, outputCol="_pc").fit(df).transform(df)
-    mean = projected.select(Summarizer.mean(F.col("_pc")).alias("m")).first()["m"]
-    centre = F.array(*[F.lit(float(x)) for x in mean])
-    centred = F.zip_with(vector_to_array("_pc"), centre, lambda x, m: x - m)
-    out = projected.withColumn("_x", centred).drop("_pc", vector)
-    return out.withColumn(vector, scaled_to_one(F.col("_x"))).drop("_x")
+    else:
+        indices, entries = sparse_parts(vector)
+        rows = df.select(indices.alias("indices"), entries.alias("values"))
+        mean, directions, _ = principal_directions(rows, size, n, k)
+        values = projected(df, vector, mean, directions)
+    return df.withColumn("_x", values).withColumn(vector, scaled_to_one(F.col("_x"))).drop("_x")
 
 
 def semantic_clusters(

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,17 +75,97 @@ def test_score_table(spark, trained):
             assert row["is_uncertain"] == (top < 0.55 or top - second < 0.15)
 
 
-def test_linear_scoring_equals_mllib(spark):
-    """The row expression gives what the fitted MLlib model gives."""
-    from pyspark.ml.functions import vector_to_array
+def dense(train, variant=-1):
+    """The variant's TF-IDF matrix, labels and used rows, by plain numpy."""
+    v = train.variants[variant]
+    stored = train.rows.toPandas()
+    x = np.zeros((len(stored), len(v.idf)))
+    for r, (terms, counts) in enumerate(zip(stored.terms, stored.counts)):
+        for t, c in zip(terms, counts):
+            if v.places[t] >= 0:
+                x[r, v.places[t]] = (1 + np.log(c) if train.spec.sublinear else c) * v.idf[v.places[t]]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    used = (stored.fold != v.left_out).to_numpy()
+    return x, stored.y.to_numpy(), used, v
 
-    train = models.build_training_set(labelled(spark, 5))
-    fitted = models._estimator("LogisticRegression", train.n).fit(train.vectors)
-    theirs = fitted.transform(train.vectors).select(vector_to_array("probability")[0].alias("p"))
-    ours = models.fit_candidate("LogisticRegression", train).score(labelled(spark, 5))
-    a = sorted(r["p"] for r in theirs.collect())
-    b = sorted(r["score_neg"] for r in ours.collect())
-    assert max(abs(x - y) for x, y in zip(a, b)) < 1e-9
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Rows whose words are spread over the classes, so that no candidate separates them."""
+    dice, data = np.random.default_rng(5), []
+    for i in range(90):
+        label = S.LABELS[int(dice.choice(3, p=[0.5, 0.2, 0.3]))]
+        words = [*dice.choice(WORDS[label].split(), 2), *dice.choice([w for t in WORDS.values() for w in t.split()], 3), f"x{i % 7}"]
+        data.append((f"r{i}", " ".join(words), label))
+    return spark.createDataFrame(data, "record_id string, clean_text string, label string")
+
+
+def test_logistic_regression_equals_mllib(spark, mixed):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    train = models.build_training_set(mixed)
+    x, y, _, v = dense(train)
+    rows = spark.createDataFrame([(float(c), float(v.class_weights[c]), Vectors.dense(r)) for r, c in zip(x, y)], ["_y", "w", "features"])
+    theirs = LogisticRegression(
+        family="multinomial", maxIter=1000, regParam=1.0 / len(y), standardization=False, tol=1e-12, labelCol="_y", weightCol="w"
+    ).fit(rows)
+    ours = models.fit_candidate("LogisticRegression", train)
+    assert np.allclose(ours.coefficients.T, theirs.coefficientMatrix.toArray(), atol=5e-3)
+
+
+def test_linear_svc_is_optimal(mixed):
+    """The gradient of the squared hinge loss, formed here row by row, vanishes at the fitted weights."""
+    train = models.build_training_set(mixed)
+    x, y, _, v = dense(train)
+    model = models.fit_candidate("LinearSVC", train)
+    for c in range(3):
+        w, b = model.coefficients[:, c], model.intercepts[c]
+        side, size = np.where(y == c, 1, -1), np.where(y == c, v.class_weights[c], 1.0)
+        short = np.maximum(0, 1 - side * (x @ w + b))
+        pull = -2 * size * side * short
+        assert np.abs(w + x.T @ pull).max() < 1.5e-3 and abs(b + pull.sum()) < 1.5e-3
+
+
+def test_naive_bayes_closed_form(mixed):
+    train = models.build_training_set(mixed)
+    x, y, _, _ = dense(train)
+    model = models.fit_candidate("MultinomialNB", train)
+    for c in range(3):
+        sums = x[y == c].sum(axis=0) + 0.35
+        assert np.allclose(model.coefficients[:, c], np.log(sums / sums.sum()))
+        assert np.isclose(model.intercepts[c], np.log((y == c).mean()))
+
+
+def test_left_out_vocabularies_equal_own_fits(mixed):
+    folded = models.sampling.stratified_kfold(mixed)
+    train = models.build_training_set(folded, fold="fold", left_out=range(5), keep=["record_id", "label"])
+    for f, vocabulary in zip([0, 1, 2, 3, 4, None], train.vocabularies):
+        rest = folded if f is None else folded.where(F.col("fold") != f)
+        alone = FT.fit_vocabulary(rest, "clean_text", FT.SPECS["sentiment"])
+        assert vocabulary.terms == alone.terms and np.allclose(vocabulary.idf, alone.idf)
+
+
+def test_out_of_fold_scores_equal_separate_fits(mixed):
+    """Candidates fitted together give what each gives on its own training rows."""
+    out = models.cross_val_predict(mixed).toPandas().set_index(["model", "record_id"])
+    assert len(out) == 270 and out.index.is_unique
+    folded = models.sampling.stratified_kfold(mixed)
+    train = models.build_training_set(folded.where("fold <> 2"))
+    for name in models.CANDIDATES:
+        scored = models.fit_candidate(name, train).score(folded.where("fold = 2")).toPandas()
+        for r in scored.itertuples():
+            got = out.loc[(name, r.record_id)]
+            assert got["fold"] == 2 and got["predicted_label"] == r.predicted_label
+            assert np.allclose([got[c] for c in models.SCORE_NAMES], [getattr(r, c) for c in models.SCORE_NAMES], atol=1e-2)
+
+
+def test_text_is_split_once(mixed, monkeypatch):
+    calls = []
+    real = models.stored_grams
+    monkeypatch.setattr(models, "stored_grams", lambda *a: calls.append(1) or real(*a))
+    models.train_select_refit(mixed.withColumn("raw_text", F.col("clean_text")).withColumn("source", F.lit("x")))
+    assert len(calls) == 1
 
 
 def test_svc_has_no_confidence(spark):
