@@ -1,7 +1,7 @@
 """Narrative facts for reports.
 
-A report first builds one row of facts from small aggregates; each statement is then a
-(audience, fact, text) rule over that row, null when it does not apply. The wording is ours;
+A report reads the records once, into a stored cube of counts, and builds one row of facts from it; each statement is then
+a (audience, fact, text) rule over that row, null when it does not apply. The wording is ours;
 the facts, their order and the caps are what callers rely on.
 """
 
@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedback_engine import schemas as S
-from feedback_engine.functions import scalars, text
+from feedback_engine.functions import rules, scalars, text
 from feedback_engine.functions.wordlists import NEUTRAL_WARNING
+from feedback_engine.operators.cube import FactCube, fact_cube
 from feedback_engine.operators.prepare import primary_rows
-from feedback_engine.operators.themes import theme_priority
+from feedback_engine.operators.themes import filled_theme
 
 Rule = tuple[str, str, Column]
 
 
-def as_rows(facts: DataFrame, rules: Sequence[Rule], cap: int) -> DataFrame:
+def as_rows(facts: DataFrame, statements: Sequence[Rule], cap: int) -> DataFrame:
     """Statements that apply, ranked in rule order, at most ``cap`` per audience."""
     cells = [
         F.struct(
@@ -30,7 +31,7 @@ def as_rows(facts: DataFrame, rules: Sequence[Rule], cap: int) -> DataFrame:
             F.lit(fact).alias("fact"),
             statement.alias("text"),
         )
-        for i, (audience, fact, statement) in enumerate(rules)
+        for i, (audience, fact, statement) in enumerate(statements)
     ]
     rows = facts.select(F.inline(F.array(*cells))).where(F.col("text").isNotNull())
     rank = F.row_number().over(Window.partitionBy("audience").orderBy("_i"))
@@ -60,47 +61,67 @@ def _uncertain(df: DataFrame, fallback: str = "is_uncertain_neural") -> Column:
     return F.lit(False)
 
 
-def _cube(df: DataFrame, sentiment: str, category: str) -> DataFrame:
-    """The one pass over the records: counts by source, class, category, with uncertain rows."""
-    return df.groupBy(
-        F.coalesce("source", F.lit(S.UNKNOWN_SOURCE)).alias("source"),
-        F.col(sentiment).alias("sentiment"),
-        F.coalesce(F.nullif(F.trim(category), F.lit("")), F.lit(S.NO_INFORMATION)).alias("category"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.count_if(_uncertain(df)).alias("n_uncertain"))
+SETS = (("sentiment",), ("source",), ("sentiment", "source"), ("category",), ("sentiment", "category"), ("sentiment", "theme", "source"))
 
 
-def _leader(cube: DataFrame, key: str) -> DataFrame:
+def _cube(df: DataFrame, sentiment: str, category: str, theme: str) -> FactCube:
+    """The one pass over the records: rows and uncertain rows by source, class, category and theme."""
+    dims = {
+        "sentiment": F.col(sentiment),
+        "source": F.coalesce("source", F.lit(S.UNKNOWN_SOURCE)),
+        "category": F.coalesce(F.nullif(F.trim(category), F.lit("")), F.lit(S.NO_INFORMATION)),
+        "theme": filled_theme(F.col(theme)),
+    }
+    return fact_cube(df, dims, SETS, {"n": F.lit(1), "n_uncertain": _uncertain(df).cast("int")})
+
+
+def _base(unified: DataFrame, scored: DataFrame, cube: FactCube) -> DataFrame:
+    """Rows by source of the whole base: from the cube where the scored rows are the base."""
+    if unified is scored:
+        return cube.by("source")
+    return unified.groupBy(F.coalesce("source", F.lit(S.UNKNOWN_SOURCE)).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _leader(rows: DataFrame, key: str) -> DataFrame:
     """Largest value of a key, smallest name on ties; one row or none."""
-    grouped = cube.groupBy(key).agg(F.sum("n").alias("n"))
-    return grouped.orderBy(F.desc("n"), key).limit(1)
+    return rows.orderBy(F.desc("n"), key).limit(1)
+
 
+def _themes(counts: DataFrame, n: int) -> DataFrame:
+    """The first one or two negative themes side by side in one row: theme1, theme1_n, theme1_source, …
 
-def _themes(df: DataFrame, n: int, sentiment: str, theme: str) -> DataFrame:
-    """The first themes side by side in one row: theme1, theme1_n, theme1_source, …"""
-    table = theme_priority(df, n, sentiment, theme=theme)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "theme")
-    ranked = table.withColumn("_r", F.row_number().over(order))
+    Uninformative themes count only where there are no others.
+    """
+    negative = counts.where(F.col("sentiment") == S.NEGATIVE)
+    grouped = negative.groupBy("theme").agg(
+        F.sum("n").alias("_n"), F.min_by("source", F.struct(-F.col("n"), F.col("source"))).alias("_source")
+    )
+    meaningful = ~F.col("theme").isin(*S.UNINFORMATIVE_THEMES)
+    some = F.coalesce(grouped.agg(F.max(meaningful).alias("m")).scalar(), F.lit(False))
+    shown = min(n, 2)
+    best = grouped.where(meaningful | ~some).orderBy(F.desc("_n"), "theme").limit(shown)
+    ranked = best.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_n"), "theme")))  # two rows
     picks = []
-    for i in range(1, min(n, 2) + 1):
-        for source, name in (
-            ("theme", ""),
-            ("n", "_n"),
-            ("dominant_source", "_source"),
-            ("action", "_action"),
+    for i in range(1, shown + 1):
+        for value, name in (
+            (F.col("theme"), ""),
+            (F.col("_n"), "_n"),
+            (text.source_display(F.col("_source")), "_source"),
+            (rules.theme_action(F.col("theme")), "_action"),
         ):
-            picks.append(F.max(F.when(F.col("_r") == i, F.col(source))).alias(f"theme{i}{name}"))
+            picks.append(F.max(F.when(F.col("_r") == i, value)).alias(f"theme{i}{name}"))
     return ranked.agg(*picks)
 
 
-def _shares(cube: DataFrame, over_all: bool = False) -> DataFrame:
-    """total, class shares (over three classes, or over all rows), uncertain share."""
+def _shares(classes: DataFrame, over_all: bool = False) -> DataFrame:
+    """total, class shares (over three classes, or over all rows), uncertain share, from rows by class."""
     sums = {
         name: F.coalesce(F.sum(F.when(F.col("sentiment") == label, F.col("n"))), F.lit(0))
         for label, name in ((S.POSITIVE, "pos"), (S.NEGATIVE, "neg"), (S.NEUTRAL, "neu"))
     }
     total = F.coalesce(F.sum("n"), F.lit(0))
     known = total if over_all else sums["pos"] + sums["neg"] + sums["neu"]
-    return cube.agg(
+    return classes.agg(
         total.alias("total"),
         *[scalars.ratio(value, known).alias(f"{name}_share") for name, value in sums.items()],
         scalars.ratio(F.sum("n_uncertain"), total).alias("uncertain_share"),
@@ -126,10 +147,12 @@ def channel_insights(
     theme: str = "theme",
 ) -> DataFrame:
     """One row on one channel: volume, shares, top negative theme and action, statements."""
-    rows = scored.where(F.coalesce("source", F.lit("")) == channel)
-    facts = _shares(_cube(rows, sentiment, theme))
-    facts = _with_scalars(facts, _base=unified.agg(F.count(F.lit(1)).alias("n")))
-    facts = _with_row(facts, _themes(rows, 3, sentiment, theme))
+    cube = _cube(scored, sentiment, theme, theme)
+    own = F.col("source") == channel
+    facts = _shares(cube.by("sentiment", "source").where(own))
+    base = _base(unified, scored, cube).agg(F.sum("n").alias("n"))
+    facts = _with_scalars(facts, _base=base)
+    facts = _with_row(facts, _themes(cube.by("sentiment", "theme", "source").where(own), 3))
     return facts.select(
         F.lit(channel).alias("channel"),
         F.col("total").alias("n"),
@@ -147,7 +170,7 @@ def channel_statements(facts: DataFrame) -> DataFrame:
     """Up to four statements on a ``channel_insights`` row."""
     name = text.source_display(F.col("channel"))
     some = F.col("n") > 0
-    rules = [
+    statements = [
         ("channel", "base_share", _say("%s holds %s of the base.", name, _pct("base_share"), when=some)),
         (
             "channel",
@@ -170,7 +193,7 @@ def channel_statements(facts: DataFrame) -> DataFrame:
             _say("%s of the predictions have low confidence.", _pct("uncertain_share"), when=some & (F.col("uncertain_share") > 0)),
         ),
     ]
-    return as_rows(facts, rules, 4)
+    return as_rows(facts, statements, 4)
 
 
 def business_insights(
@@ -183,24 +206,24 @@ def business_insights(
     cap: int = 5,
 ) -> DataFrame:
     """Ordered business statements, first five that apply."""
-    cube = _cube(scored, sentiment, category)
-    negative = cube.where(F.col("sentiment") == S.NEGATIVE)
-    has_negative = negative.agg((F.count(F.lit(1)) > 0).alias("h")).scalar()
-    top_category = _leader(cube.where((F.col("sentiment") == S.NEGATIVE) | ~has_negative), "category")
-    base = unified.groupBy(F.coalesce("source", F.lit(S.UNKNOWN_SOURCE)).alias("source")).agg(
-        F.count(F.lit(1)).alias("n")
+    cube = _cube(scored, sentiment, category, theme)
+    negative = F.col("sentiment") == S.NEGATIVE
+    # categories of negative records, of all where there are none
+    some = F.coalesce(cube.by("sentiment").agg(F.max(negative).alias("m")).scalar(), F.lit(False))
+    friction = cube.by("sentiment", "category").where(negative).select("category", "n").union(
+        cube.by("category").where(~some).select("category", "n")
     )
-    primary = primary_rows(models).select("f1_neu").limit(1)
+    top_category = _leader(friction, "category")
     facts = _with_scalars(
-        _shares(cube),
+        _shares(cube.by("sentiment")),
         category=top_category.select("category"),
         category_n=top_category.select("n"),
-        neg_source=_leader(negative, "source").select("source"),
-        base_source=_leader(base, "source").select("source"),
-        f1_neu=primary,
+        neg_source=_leader(cube.by("sentiment", "source").where(negative), "source").select("source"),
+        base_source=_leader(_base(unified, scored, cube), "source").select("source"),
+        f1_neu=primary_rows(models).select("f1_neu").limit(1),
     )
-    facts = _with_row(facts, _themes(scored, 5, sentiment, theme))
-    rules = [
+    facts = _with_row(facts, _themes(cube.by("sentiment", "theme", "source"), 5))
+    statements = [
         (
             "business",
             "overall",
@@ -230,7 +253,7 @@ def business_insights(
             _say("%s of the predictions have low confidence.", _pct("uncertain_share"), when=F.col("uncertain_share") > 0),
         ),
     ]
-    return as_rows(facts, rules, cap)
+    return as_rows(facts, statements, cap)
 
 
 AUDIENCE_CAPS = {"investor": 3, "user": 3, "internal": 4}
@@ -243,17 +266,15 @@ def audience_insights(
     theme: str = "theme",
 ) -> DataFrame:
     """Statements for three audiences, capped 3 / 3 / 4."""
-    cube = _cube(scored, sentiment, theme)
-    base = unified.groupBy(F.coalesce("source", F.lit(S.UNKNOWN_SOURCE)).alias("source")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    facts = _with_scalars(_shares(cube), base_source=_leader(base, "source").select("source"))
-    facts = _with_row(facts, _themes(scored, 5, sentiment, theme))
+    cube = _cube(scored, sentiment, theme, theme)
+    base_source = _leader(_base(unified, scored, cube), "source").select("source")
+    facts = _with_scalars(_shares(cube.by("sentiment")), base_source=base_source)
+    facts = _with_row(facts, _themes(cube.by("sentiment", "theme", "source"), 5))
     some, unsure = F.col("total") > 0, F.col("uncertain_share") > 0
     source = text.source_display(F.col("base_source"))
     lowered = F.lower("theme1")
     account = F.contains(lowered, F.lit("conta")) | F.contains(lowered, F.lit("acesso"))
-    rules = [
+    statements = [
         ("investor", "overall", _say("%s positive; %s is a reputation risk.", _pct("pos_share"), _pct("neg_share"), when=some)),
         ("user", "theme", _say("Most frequent negative theme: %s, mostly on %s.", F.col("theme1"), F.col("theme1_source"))),
         ("internal", "priority", _say("First priority: %s %d negative records.", F.col("theme1_action"), F.col("theme1_n"))),
@@ -264,7 +285,7 @@ def audience_insights(
         ("user", "base_source", _say("Most conversation happens on %s.", source)),
         ("user", "account", F.when(account, F.lit("Access and account problems hit daily use at once."))),
     ]
-    rows = as_rows(facts, rules, max(AUDIENCE_CAPS.values()))
+    rows = as_rows(facts, statements, max(AUDIENCE_CAPS.values()))
     allowed = F.lit(False)
     for audience, cap in AUDIENCE_CAPS.items():
         allowed = allowed | ((F.col("audience") == audience) & (F.col("rank") <= cap))
@@ -275,16 +296,16 @@ def storyline(
     scored: DataFrame, sentiment: str = "predicted_label", theme: str = "theme"
 ) -> DataFrame:
     """Headline and up to four risks; shares are over all rows, missing ones included."""
-    cube = _cube(scored, sentiment, theme)
-    negative = cube.where(F.col("sentiment") == S.NEGATIVE)
+    cube = _cube(scored, sentiment, theme, theme)
+    negative = cube.by("sentiment", "source").where(F.col("sentiment") == S.NEGATIVE)
     facts = _with_scalars(
-        _shares(cube, over_all=True), neg_source=_leader(negative, "source").select("source")
+        _shares(cube.by("sentiment"), over_all=True), neg_source=_leader(negative, "source").select("source")
     )
-    facts = _with_row(facts, _themes(scored, 1, sentiment, theme))
+    facts = _with_row(facts, _themes(cube.by("sentiment", "theme", "source"), 1))
     some = F.col("total") > 0
     source = F.coalesce(text.source_display(F.col("neg_source")), F.lit("Sem fonte dominante"))
     top = F.coalesce("theme1", F.lit("tema nao identificado"))
-    rules = [
+    statements = [
         (
             "headline",
             "headline",
@@ -298,4 +319,4 @@ def storyline(
         ("risk", "neutral", _say("%s of the content is neutral.", _pct("neu_share"), when=F.col("neu_share") > 0)),
         ("risk", "uncertain", _say("%s of the predictions have low confidence.", _pct("uncertain_share"), when=F.col("uncertain_share") > 0)),
     ]
-    return as_rows(facts, rules, 4)
+    return as_rows(facts, statements, 4)

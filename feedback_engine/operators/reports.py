@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from feedback_engine import schemas as S
 from feedback_engine.functions import scalars, text
 from feedback_engine.functions.wordlists import PREVIEW_CHARS
+from feedback_engine.operators.cube import fact_cube
 from feedback_engine.operators.prepare import union_by_name
 from feedback_engine.operators.ranking import explode_terms, head_per_group, whole
 from feedback_engine.operators.views import counts
@@ -130,24 +131,21 @@ def primary_snapshot(
     """Long table (section, key, n, share): total, classes, negative categories, source mix.
 
     Class shares are over the three classes. Categories are those of negative rows, or of all
-    rows when there is no negative row. All sections come from one grouped pass.
+    rows when there is no negative row. All sections come from one stored cube.
     """
 
     def filled(column: str) -> Column:
         value = F.nullif(F.trim(F.col(column)), F.lit(""))
         return F.coalesce(value, F.lit(S.NO_INFORMATION))
 
-    cube = df.groupBy(
-        F.col(sentiment).alias("sentiment"),
-        filled(category).alias("category"),
-        filled("source").alias("source"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    dims = {"sentiment": F.col(sentiment), "category": filled(category), "source": filled("source")}
+    cube = fact_cube(df, dims, [["sentiment"], ["category"], ["sentiment", "category"], ["source"]], {"n": F.lit(1)})
 
     def top(key: str, rows: DataFrame, limit: int) -> DataFrame:
-        grouped = rows.groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("n"))
-        return grouped.orderBy(F.desc("n"), "key").limit(limit)
+        return rows.select(F.col(key).alias("key"), "n").orderBy(F.desc("n"), "key").limit(limit)
 
-    total = cube.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
+    classes = cube.by("sentiment")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
         F.lit("total").alias("section"), F.lit("records").alias("key"), "n", F.lit(1.0).alias("share")
     )
     per_class = [
@@ -157,23 +155,26 @@ def primary_snapshot(
         )
         for label in S.DISPLAY_ORDER
     ]
-    classes = (
-        cube.agg(F.array(*per_class).alias("_c"))
+    shown = (
+        classes.agg(F.array(*per_class).alias("_c"))
         .select(F.inline("_c"))
         .select(F.lit("sentiment").alias("section"), "key", "n", share_of(F.col("n")).alias("share"))
     )
     negative = F.col("sentiment") == S.NEGATIVE
-    has_negative = cube.where(negative).agg((F.count(F.lit(1)) > 0).alias("h")).scalar()
-    categories = top("category", cube.where(negative | ~has_negative), 8).select(
+    some = F.coalesce(classes.agg(F.max(negative).alias("m")).scalar(), F.lit(False))
+    friction = cube.by("sentiment", "category").where(negative).select("category", "n").union(
+        cube.by("category").where(~some).select("category", "n")
+    )
+    categories = top("category", friction, 8).select(
         F.lit("negative_category").alias("section"), "key", "n", F.lit(None).cast("double").alias("share")
     )
-    sources = top("source", cube, 5).select(
+    sources = top("source", cube.by("source"), 5).select(
         F.lit("source_mix").alias("section"),
         text.source_display(F.col("key")).alias("key"),
         "n",
         F.lit(None).cast("double").alias("share"),
     )
-    return union_by_name([total, classes, categories, sources])
+    return union_by_name([total, shown, categories, sources])
 
 
 def sentiment_by_source(df: DataFrame) -> DataFrame:
@@ -226,19 +227,21 @@ def overview_kpis(df: DataFrame, sources: Sequence[str] = S.ALL_SOURCES) -> Data
 
 def class_kpis(df: DataFrame, label: str, theme: str = "theme") -> DataFrame:
     """Rows of a class, share of all rows, its first theme, its strongest source by share."""
-    cube = df.groupBy("source", "predicted_label", theme).agg(F.count(F.lit(1)).alias("n"))
-    mine = F.col("predicted_label") == label
-    totals = cube.agg(
+    dims = {"label": F.col("predicted_label"), "source": F.col("source"), "theme": F.col(theme)}
+    cube = fact_cube(df, dims, [["label"], ["label", "source"], ["label", "theme"]], {"n": F.lit(1)})
+    mine = F.col("label") == label
+    totals = cube.by("label").agg(
         F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias("n"),
         F.sum("n").alias("_all"),
     )
-    themes = cube.where(mine).groupBy(theme).agg(F.sum("n").alias("n"))
-    informative = ~F.col(theme).isin(*S.UNINFORMATIVE_THEMES) & F.col(theme).isNotNull()
-    best_theme = themes.orderBy(F.desc(informative), F.desc("n"), theme).limit(1).select(
-        F.coalesce(theme, F.lit(S.NO_INFORMATION))
+    informative = ~F.col("theme").isin(*S.UNINFORMATIVE_THEMES) & F.col("theme").isNotNull()
+    themes = cube.by("label", "theme").where(mine)
+    best_theme = themes.orderBy(F.desc(informative), F.desc("n"), "theme").limit(1).select(
+        F.coalesce("theme", F.lit(S.NO_INFORMATION))
     )
     per_source = (
-        cube.where(F.col("source").isNotNull() & F.col("predicted_label").isNotNull())
+        cube.by("label", "source")
+        .where(F.col("source").isNotNull() & F.col("label").isNotNull())
         .groupBy("source")
         .agg(
             scalars.ratio(F.sum(F.when(mine, F.col("n"))), F.sum("n")).alias("share"),

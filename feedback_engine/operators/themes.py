@@ -25,7 +25,8 @@ THEME_COLUMNS = (
 )
 
 
-def _filled(value: Column) -> Column:
+def filled_theme(value: Column) -> Column:
+    """The trimmed name; null, blank and ``nan`` under the fallback label."""
     trimmed = F.trim(value.cast("string"))
     missing = trimmed.isNull() | trimmed.isin("", "nan")
     return F.when(missing, F.lit(S.NO_INFORMATION)).otherwise(trimmed)
@@ -62,7 +63,7 @@ def theme_priority(
     """
     grouped = (
         df.where(F.col(sentiment) == value)
-        .select(_filled(F.col(theme)).alias("theme"), "source", "raw_text", order)
+        .select(filled_theme(F.col(theme)).alias("theme"), "source", "raw_text", order)
         .groupBy("theme")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -121,7 +122,7 @@ def theme_priority_clusters(
         example = F.nullif(F.col("cluster_example"), F.lit(""))
     signal = _mode(F.col("cluster_signal"), S.MIXED) if "cluster_signal" in has else F.lit(value)
     grouped = (
-        rows.withColumn("theme", _filled(F.col(label)))
+        rows.withColumn("theme", filled_theme(F.col(label)))
         .where(~F.col("theme").isin(*S.UNINFORMATIVE_THEMES, *excluded))
         .groupBy("theme")
         .agg(

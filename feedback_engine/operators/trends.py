@@ -7,22 +7,20 @@ from pyspark.sql import functions as F
 
 from feedback_engine import schemas as S
 from feedback_engine.functions import scalars
+from feedback_engine.operators.cube import fact_cube
 from feedback_engine.operators.insights import as_rows
 from feedback_engine.operators.ranking import whole
 
 
 
-def _monthly_counts(df: DataFrame, sentiment: str, channel: str | None = None) -> DataFrame:
-    """Counts of the three classes per month (and per channel flag)."""
+CLASS_COUNTS = ((S.POSITIVE, "n_pos"), (S.NEGATIVE, "n_neg"), (S.NEUTRAL, "n_neu"))
+
+
+def _monthly_counts(df: DataFrame, sentiment: str) -> DataFrame:
+    """Counts of the three classes per month."""
     kept = df.where(F.col("published_at").isNotNull() & F.col(sentiment).isNotNull())
-    keys = [scalars.month_start(F.col("published_at")).alias("month")]
-    if channel is not None:
-        keys.append((F.coalesce("source", F.lit("")) == channel).alias("in_channel"))
-    return kept.groupBy(*keys).agg(
-        *[
-            F.count_if(F.col(sentiment) == label).alias(name)
-            for label, name in ((S.POSITIVE, "n_pos"), (S.NEGATIVE, "n_neg"), (S.NEUTRAL, "n_neu"))
-        ]
+    return kept.groupBy(scalars.month_start(F.col("published_at")).alias("month")).agg(
+        *[F.count_if(F.col(sentiment) == label).alias(name) for label, name in CLASS_COUNTS]
     )
 
 
@@ -62,9 +60,14 @@ def trend_deltas(
     df: DataFrame, sentiment: str = "predicted_label", channel: str = S.REVIEW_SOURCE
 ) -> DataFrame:
     """One row: last minus first month shares, last 3 minus first 3 months, one channel's delta."""
-    parts = _monthly_counts(df, sentiment, channel)
-    names = ("n_pos", "n_neg", "n_neu")
-    months = _ranked(_with_shares(parts.groupBy("month").agg(*[F.sum(n).alias(n) for n in names])))
+    kept = df.where(F.col("published_at").isNotNull() & F.col(sentiment).isNotNull())
+    dims = {
+        "month": scalars.month_start(F.col("published_at")),
+        "in_channel": F.coalesce("source", F.lit("")) == channel,
+    }
+    flags = {name: (F.col(sentiment) == label).cast("int") for label, name in CLASS_COUNTS}
+    cube = fact_cube(kept, dims, [["month"], ["month", "in_channel"]], flags)
+    months = _ranked(_with_shares(cube.by("month")))
     enough = F.count(F.lit(1))
     first3 = F.avg(F.when(F.col("_up") <= 3, F.col("neg_share")))
     last3 = F.avg(F.when(F.col("_down") <= 3, F.col("neg_share")))
@@ -74,7 +77,7 @@ def trend_deltas(
         F.when(enough >= 2, _delta("pos_share")).alias("pos_delta"),
         F.when(enough >= 3, last3 - first3).alias("neg_window_delta"),
     )
-    one = _ranked(_with_shares(parts.where("in_channel")))
+    one = _ranked(_with_shares(cube.by("month", "in_channel").where("in_channel")))
     channel_delta = one.agg(F.when(enough >= 2, _delta("neg_share")).alias("d"))
     return overall.withColumn("channel_neg_delta", channel_delta.scalar())
 

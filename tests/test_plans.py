@@ -6,13 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedback_engine import catalog
+from feedback_engine.operators import cube
 from feedback_engine.operators import prepare as P
 from feedback_engine.operators import ranking as RK
 from feedback_engine.operators import themes
 from feedback_engine.plans.adapters import read_table, reviews_view, themed_reviews
+from tests.conftest import rows
 
 QUERIES, ORACLES = catalog.load()
-CHEAP = sorted(k for k in ORACLES if not k.startswith(("job_", "ml_tfidf", "ml_cluster_k", "src_", "snk_")))
+CHEAP = sorted(k for k in ORACLES if not k.startswith(("job_", "ml_tfidf", "ml_cluster_k", "ml_pca", "ml_multinomial", "src_", "snk_")))
 
 
 def plan(df) -> str:
@@ -61,3 +63,35 @@ def test_scratch_folder_must_be_named(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_root(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default)))
+
+
+REPORTS = (
+    "rpt_business_insights", "rpt_storyline", "rpt_audience_insights", "rpt_channel_insights", "rpt_channel_statements",
+    "rpt_primary_snapshot", "rpt_class_kpis", "rpt_trend_deltas", "rpt_trend_insights",
+)
+
+
+@pytest.mark.parametrize("key", REPORTS)
+def test_a_report_reads_the_records_once(spark, sf_dir, key, monkeypatch):
+    """The cube's plan scans the records' table once; nothing after it scans them again."""
+    plans = []
+    real = cube.materialize
+
+    def seen(df, name):
+        plans.append(plan(df))
+        return real(df, name)
+
+    monkeypatch.setattr(cube, "materialize", seen)
+    plans.append(plan(QUERIES[key](spark, sf_dir)))
+    scans = [line for text in plans for line in text.split("\n") if "FileScan" in line and "orders.parquet" in line]
+    assert len(plans) == 2 and len(scans) == 1 and "orders.parquet" not in plans[1]
+
+
+def test_cube_has_only_its_sets(spark):
+    df = spark.createDataFrame([("a", None), ("a", "x"), (None, "x")], "k string, m string")
+    made = cube.fact_cube(df, {"k": F.col("k"), "m": F.col("m")}, [["k"], ["m"], []], {"n": F.lit(1)})
+    assert rows(made.by("k"), "k", "n") == [("a", 2), (None, 1)] and rows(made.by("m"), "m", "n") == [("x", 2), (None, 1)]
+    assert made.by().first()["n"] == 3
+    with pytest.raises(ValueError):
+        made.by("k", "m")
+    assert cube.fact_cube(df.where("false"), {"k": F.col("k")}, [["k"]], {"n": F.lit(1)}).by("k").count() == 0
