@@ -6,8 +6,9 @@ proper prefix of another that ends alike. The distinct chunks with their frequen
 counted once from there on. N-grams are counted inside distinct chunks, weighted with the chunk's frequency; an n-gram
 belongs to the chunk in which it begins before the overlap, so overlaps count once.
 
-Longer n-grams are counted only where both of their (n-1)-grams are frequent. That test uses a bit filter of bounded size;
-what it lets through wrongly is counted and found too rare, so counts do not depend on the filter.
+Which n-grams may be frequent is first told from counts of their hashes, and only where both (n-1)-grams may be. Bit
+filters of bounded size hold the answer; what they let through wrongly is counted by its words and found too rare, so
+counts and results do not depend on hashes or filters.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 from feedback_engine.llm.common import join_counted
 from feedback_engine.llm.shingles import _mix
-from feedback_engine.llm.words import SLICE_BYTES, chained, scan, slices, windows
+from feedback_engine.llm.words import joined_bytes, scan, slices, windows
 from feedback_engine.session import materialize
 
 #: A chunk holds about so many words before the next trigger.
-TRIGGER = 8
+TRIGGER = 24
 #: Entries of a task's table of chunks or n-grams before it is handed on.
 HELD = 200_000
 #: 64-bit words of the filter at most: 32 MB.
@@ -36,8 +37,10 @@ SPREAD = 20
 
 # pieces end at . , ; : ! ? and 0x0A-0x0D; words are split by blanks and tabs
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
+# a chunk's key ends with 0x0A where the piece ends with it, else with 0x0D
+_PIECE_END, _GOES_ON = 0x0A, 0x0D
 _BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 0x0A]] = True
+_BLANK[[0x20, _PIECE_END, _GOES_ON]] = True
 
 
 def _rows(counts: dict[str, Counter]) -> pa.RecordBatch:
@@ -53,9 +56,9 @@ def _rows(counts: dict[str, Counter]) -> pa.RecordBatch:
 
 
 def parse(data: bytes, overlap: int, trigger: int) -> Iterator[bytes]:
-    """Chunks of a buffer of pieces (each ends with a line break).
+    """Keys of the chunks of a buffer of pieces (each ends with 0x0A, all blanks are single).
 
-    Words of a chunk are joined by one blank; the last chunk of a piece ends with a line break.
+    Words of a chunk are joined by one blank; the key of a piece's last chunk ends with 0x0A, others with 0x0D.
     """
     starts, ends, hashes = scan(data, _BLANK)
     if not len(starts):
@@ -73,7 +76,7 @@ def parse(data: bytes, overlap: int, trigger: int) -> Iterator[bytes]:
     tail = np.append(begins[firsts[1:]], True)
     stops = ends[np.where(tail, nexts, nexts + overlap) - 1]
     for start, stop, last in zip(starts[firsts].tolist(), stops.tolist(), tail.tolist(), strict=True):
-        yield data[start:stop] + b"\n" if last else data[start:stop]
+        yield data[start:stop] + (b"\n" if last else b"\r")
 
 
 def _single_blanks(data: bytes) -> bytes:
@@ -119,68 +122,121 @@ def _bits(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & np.uint64((1 << 40) - 1)) % np.uint64(words), mask
 
 
-def phrase_filter(phrases: DataFrame, n_words: int, n_phrases: int) -> np.ndarray:
-    """Bit filter of (lang, key) rows, all of ``n_words`` words; its size follows their number up to FILTER_WORDS."""
-    words = int(min(FILTER_WORDS, max(1, n_phrases // 4)))
+def phrase_filter(hashes: DataFrame, n_hashes: int) -> np.ndarray:
+    """Bit filter of the distinct values of column ``h``; its size follows their number up to FILTER_WORDS."""
+    words = int(min(FILTER_WORDS, max(1, n_hashes // 4)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds: dict[str, int] = {}
         for batch in batches:
-            for part in slices(batch, 1):
-                langs = part.column(0).to_pylist()
-                data = "\n".join(part.column(1).to_pylist()).encode()
-                hashes = scan(data, _BLANK)[2].reshape(-1, n_words)
-                own = np.array([seeds.setdefault(x, _lang_seed(x)) for x in langs], np.uint64)
-                at, mask = _bits(chained(hashes, own), words)
-                yield pa.record_batch([pa.array(at.view(np.int64)), pa.array(mask.view(np.int64))], ["at", "mask"])
-
-    rows = phrases.select("lang", "key").mapInArrow(run, "at long, mask long")
+            at, mask = _bits(batch.column(0).to_numpy().view(np.uint64), words)
+            yield pa.record_batch([pa.array(at.view(np.int64)), pa.array(mask.view(np.int64))], ["at", "mask"])
+
+    rows = hashes.select("h").mapInArrow(run, "at long, mask long")
     out = np.zeros(words, np.uint64)
-    for row in rows.groupBy("at").agg(F.bit_or("mask").alias("mask")).toLocalIterator():  # at most ``words`` rows
+    for row in rows.groupBy("at").agg(F.bit_or("mask").alias("mask")).collect():  # at most ``words`` rows
         out[row["at"]] = row["mask"] & ((1 << 64) - 1)
     return out
 
 
-def grams(chunks: DataFrame, n: int, overlap: int, known: np.ndarray | None = None) -> DataFrame:
-    """(lang, key, times): the n-grams of the dictionary with their frequency in the corpus.
+class _Chunks:
+    """Words of a slice of the dictionary: places, hashes, and which n-grams begin where."""
+
+    def __init__(self, part: pa.RecordBatch, overlap: int):
+        langs = part.column(0).dictionary_encode()
+        self.langs = langs.dictionary.to_pylist()
+        self.data = joined_bytes(part.column(1))
+        self.starts, self.ends, self.hashes = scan(self.data, _BLANK)
+        raw = np.frombuffer(self.data, np.uint8)
+        marks = np.flatnonzero((raw == _PIECE_END) | (raw == _GOES_ON))
+        self.chunk = np.searchsorted(marks, self.starts)
+        tail = raw[marks] == _PIECE_END
+        sizes = np.bincount(self.chunk, minlength=len(marks))
+        at = np.arange(len(self.starts)) - (np.cumsum(sizes) - sizes)[self.chunk]
+        self.begins = at < np.where(tail, sizes, sizes - overlap)[self.chunk]
+        self.after = sizes[self.chunk] - at  # words from here to the chunk's end
+        self.times = part.column(2).to_numpy()[self.chunk]
+        self.lang = langs.indices.to_numpy()[self.chunk]  # place of each word's language
+        self.seed = np.array([_lang_seed(x) for x in self.langs], np.uint64)[self.lang]
+
+    def grams(self, n: int) -> np.ndarray:
+        """Hash of the n words from each place on that has as many words after it in the buffer."""
+        return windows(self.hashes, n, self.seed[: max(0, len(self.hashes) - n + 1)])
+
+    def places(self, n: int, known: np.ndarray | None) -> np.ndarray:
+        """Where n-grams begin that this chunk owns; with ``known`` only where both (n-1)-grams may be frequent."""
+        ok = self.begins & (self.after >= n)
+        if known is not None:
+            shorter = _held(known, self.grams(n - 1))
+            ok[: max(0, len(shorter) - 1)] &= shorter[:-1] & shorter[1:]
+            ok[max(0, len(shorter) - 1) :] = False
+        return np.flatnonzero(ok)
+
+
+def _held(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at, mask = _bits(hashes, len(known))
+    return known[at] & mask == mask
+
+
+def hashed_grams(chunks: DataFrame, n: int, overlap: int, known: np.ndarray | None) -> DataFrame:
+    """(h, times): hashes of the n-grams of the dictionary with their frequency in the corpus."""
+    shared = None if known is None else chunks.sparkSession.sparkContext.broadcast(known)
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return hashes, np.bincount(back, np.concatenate([p[1] for p in parts]), len(hashes)).astype(np.int64)
+
+    def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, times = summed(parts)
+        return pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(times)], ["h", "times"])
 
-    With ``known``, the filter of frequent (n-1)-grams, only those whose two (n-1)-grams may be frequent.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for part in slices(batch, 1):
+                own = _Chunks(part, overlap)
+                at = own.places(n, None if shared is None else shared.value)
+                held.append((own.grams(n)[at], own.times[at]))
+                if sum(len(h) for h, _ in held) > HELD * 8:
+                    held = [summed(held)]
+                    if len(held[0][0]) > HELD * 4:
+                        yield rows(held)
+                        held = []
+        if held:
+            yield rows(held)
+
+    found = chunks.select("lang", "key", "times").mapInArrow(run, "h long, times long")
+    return found.groupBy("h").agg(F.sum("times").alias("times"))
+
+
+def counted_grams(chunks: DataFrame, most_words: int, known: list[np.ndarray]) -> DataFrame:
+    """(lang, key, times): n-grams of 1 to ``most_words`` words with their frequency, but for many rare ones.
+
+    ``known[n - 1]`` is the filter of the frequent n-grams, for each n below ``most_words``.
     """
-    shared = None if known is None else chunks.sparkSession.sparkContext.broadcast(known)
+    shared = chunks.sparkSession.sparkContext.broadcast(known)
+    overlap = most_words - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        held = 0
         for batch in batches:
-            for part in slices(batch, 1, SLICE_BYTES // 2):
-                langs, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
-                tail = np.array([k.endswith("\n") for k in keys], bool)
-                data = "\n".join(k.rstrip("\n") for k in keys).encode()
-                starts, ends, hashes = scan(data, _BLANK)
-                chunk = np.cumsum(np.frombuffer(data, np.uint8) == 0x0A)[starts] if len(starts) else starts
-                sizes = np.bincount(chunk, minlength=len(keys))
-                first = np.cumsum(sizes) - sizes
-                owned = np.where(tail, sizes, sizes - overlap)
-                at = np.arange(max(0, len(starts) - n + 1))
-                of = chunk[: len(at)]
-                ok = (chunk[n - 1 : n - 1 + len(at)] == of) & (at - first[of] < owned[of])
-                if shared is not None:
-                    seeds = {x: _lang_seed(x) for x in set(langs)}
-                    seed = np.array([seeds[x] for x in langs], np.uint64)[chunk]
-                    shorter = windows(hashes, n - 1, seed[: len(starts) - n + 2])
-                    place, mask = _bits(shorter, len(shared.value))
-                    may = shared.value[place] & mask == mask
-                    ok &= may[: len(at)] & may[1 : len(at) + 1]
-                at = np.flatnonzero(ok)
-                times = part.column(2).to_numpy()[chunk[at]].tolist()
-                for start, end, k, i in zip(starts[at].tolist(), ends[at + n - 1].tolist(), times, chunk[at].tolist(), strict=True):
-                    of_lang = counts.get(langs[i])
-                    if of_lang is None:
-                        of_lang = counts[langs[i]] = Counter()
-                    gram = data[start:end]
-                    of_lang[gram] = of_lang.get(gram, 0) + k
-                held = sum(map(len, counts.values()))
-                if held > HELD:
+            for part in slices(batch, 1):
+                own = _Chunks(part, overlap)
+                for n in range(1, most_words + 1):
+                    at = own.places(n, shared.value[n - 2] if n == most_words and n > 1 else None)
+                    if n < most_words:
+                        at = at[_held(shared.value[n - 1], own.grams(n)[at])]
+                    for i, lang in enumerate(own.langs):
+                        to = counts.setdefault(lang, Counter())
+                        for once in (True, False):
+                            mine = at[(own.lang[at] == i) & ((own.times[at] == 1) == once)]
+                            pairs = zip(own.starts[mine].tolist(), own.ends[mine + n - 1].tolist(), strict=True)
+                            found = [own.data[start:end] for start, end in pairs]
+                            if once:
+                                to.update(found)
+                            else:
+                                for gram, k in zip(found, own.times[mine].tolist(), strict=True):
+                                    to[gram] += k
+                if sum(map(len, counts.values())) > HELD * 2:
                     yield _rows(counts)
                     counts = {}
         yield _rows(counts)
@@ -233,19 +289,15 @@ def collocations(
     """
     overlap = most_words - 1
     chunks = materialize(dictionary(docs, F.col(f"`{lang_col}`"), F.col(f"`{text_col}`"), overlap), "chunks")
-    tables, known = [], None
-    for n in range(1, most_words + 1):
-        counted = grams(chunks, n, overlap, known)
-        if n == 1:
-            counted = materialize(counted, "words")
-            totals = counted.groupBy("lang").agg(F.sum("times").alias("n"))
-        often = materialize(counted.where(F.col("times") >= least).withColumn("n_words", F.lit(n)), f"frequent-{n}")
-        tables.append(often)
-        if n < most_words:
-            known = phrase_filter(often, n, often.count())
-    frequent = tables[0]
-    for table in tables[1:]:
-        frequent = frequent.unionByName(table)
+    words = F.size(F.split("key", " ")) - F.when(F.col("key").endswith("\n"), 0).otherwise(overlap)
+    totals = chunks.groupBy("lang").agg(F.sum(F.col("times") * words).alias("n"))
+    known: list[np.ndarray] = []
+    for n in range(1, most_words):
+        hashes = hashed_grams(chunks, n, overlap, known[-1] if known else None).where(F.col("times") >= least)
+        hashes = materialize(hashes.select("h"), f"frequent-{n}")
+        known.append(phrase_filter(hashes, hashes.count()))
+    frequent = counted_grams(chunks, most_words, known).where(F.col("times") >= least)
+    frequent = materialize(frequent.withColumn("n_words", F.size(F.split("key", " "))), "frequent")
 
     candidates = frequent.where("n_words > 1").select("lang", F.col("key").alias("phrase"), F.col("times").alias("a"), "n_words")
     words = F.split("phrase", " ")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 
 from feedback_engine.llm.shingles import _BYTE, _INVERSE, _P, _mix, _powers
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -30,6 +31,24 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         at = end
 
 
+@lru_cache(maxsize=2)
+def _table(base: int, size: int) -> np.ndarray:
+    return _powers(np.uint64(base), size)
+
+
+def _powers_upto(base: np.uint64, n: int) -> np.ndarray:
+    """Powers 0 to n - 1; a task keeps the table for slices of the usual size."""
+    return _table(int(base), SLICE_BYTES + 2)[:n] if n <= SLICE_BYTES + 2 else _powers(base, n)
+
+
+def joined_bytes(texts: pa.Array) -> bytes:
+    """The bytes of all texts of an Arrow column one after the other, without a Python object for each."""
+    _, offsets, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(offsets, wide)[[texts.offset, texts.offset + len(texts)]] if len(texts) else (0, 0)
+    return data[int(at[0]) : int(at[1])].to_pybytes() if data is not None else b""
+
+
 def scan(data: bytes, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of each word: runs of bytes not marked in the table ``blank`` (256 booleans)."""
     raw = np.frombuffer(data, np.uint8)
@@ -38,8 +57,8 @@ def scan(data: bytes, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[::2], turns[1::2]
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _powers(_P, len(raw) + 1)[:-1], out=sums[1:])
-    back = _powers(_INVERSE, len(raw) + 1)
+    np.cumsum(_BYTE[raw] * _powers_upto(_P, len(raw)), out=sums[1:])
+    back = _powers_upto(_INVERSE, len(raw) + 1)
     return starts, ends, _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
