@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedback_engine import schemas as S
+from feedback_engine.sources.csv_records import read_csv_records
 
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
 _MISSING = {"PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
@@ -24,17 +25,20 @@ def format_of(path: str) -> str:
 
 
 def read_by_suffix(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True
 ) -> DataFrame:
     """csv (header), parquet or json by extension. Pass a schema to skip inference.
 
-    An empty CSV cell reads as null. ``multiline`` allows quoted line breaks in CSV; such a file is one task.
+    An empty CSV cell reads as null. CSV cells may hold quoted line breaks, and large files are still read in splits
+    (``csv_records``); ``multiline=False`` saves that a pass where no cell has one.
     """
     kind = format_of(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
+        if multiline:
+            return read_csv_records(spark, path, schema=schema)
         # Escapes follow RFC 4180.
-        return reader.csv(path, header=True, multiLine=multiline, quote='"', escape='"')
+        return reader.csv(path, header=True, quote='"', escape='"')
     if kind == "json":
         return reader.json(path)
     return reader.parquet(path)
@@ -54,14 +58,19 @@ def write_by_suffix(df: DataFrame, path: str) -> None:
 
 def read_complaint_csv(
     spark: SparkSession, pattern: str, own_output: str = "complaints_processed.csv",
-    schema: T.StructType | None = None, multiline: bool = False,
+    schema: T.StructType | None = None, multiline: bool = True,
 ) -> DataFrame:
-    """All ``;`` separated files of a folder with their file name, but not our own output."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    raw = reader.csv(pattern, header=True, sep=";", multiLine=multiline, quote='"', escape='"')
-    return raw.withColumn("source_file", F.col("_metadata.file_name")).where(
-        F.col("source_file") != own_output
-    )
+    """All ``;`` separated files of a folder with their file name, but not our own output.
+
+    Complaint texts hold quoted line breaks; ``multiline=False`` is for files that have none.
+    """
+    if multiline:
+        raw = read_csv_records(spark, pattern, ";", schema, "source_file")
+    else:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        raw = reader.csv(pattern, header=True, sep=";", quote='"', escape='"')
+        raw = raw.withColumn("source_file", F.col("_metadata.file_name"))
+    return raw.where(F.col("source_file") != own_output)
 
 
 def is_missing(error: AnalysisException) -> bool:
