@@ -168,7 +168,7 @@ def full_refresh(spark, sf_dir):
     path, df = scratch_path(spark, "full-refresh"), reviews_view(spark, sf_dir)
     for _ in range(2):  # the second run must leave one copy
         files.full_refresh(df, path)
-    return V.counts(spark.read.parquet(path), "source")
+    return V.counts(files.committed(spark, path), "source")
 
 
 @register("snk_append_replace", f"{R} SELECT source, 2 * count(*) AS n FROM reviews GROUP BY source")
@@ -176,7 +176,7 @@ def append_replace(spark, sf_dir):
     path, df = scratch_path(spark, "append"), reviews_view(spark, sf_dir)
     for mode in ("append", "replace", "append"):
         files.append_or_replace(df, path, mode)
-    return V.counts(spark.read.parquet(path), "source")
+    return V.counts(files.committed(spark, path), "source")
 
 
 @register(

@@ -12,7 +12,7 @@ from feedback_engine import schemas as S
 from feedback_engine.operators import metrics as M
 from feedback_engine.operators import models, prepare, topics
 from feedback_engine.operators.features import SPECS, TfidfSpec
-from feedback_engine.sources.files import full_refresh
+from feedback_engine.sources.files import committed, full_refresh
 
 
 @dataclass(frozen=True)
@@ -25,14 +25,13 @@ class Layers:
     def path(self, layer: str, table: str) -> str:
         return f"{self.root.rstrip('/')}/{layer}/{table}"
 
-    def write(self, df: DataFrame, layer: str, table: str) -> DataFrame:
-        """Replace a table and hand back the stored one, so later stages read, not recompute."""
-        path = self.path(layer, table)
-        full_refresh(df, path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def write(self, df: DataFrame, layer: str, table: str, batch: str | None = None) -> DataFrame:
+        """Replace a table in one commit and hand back the stored one, so later stages read, not recompute."""
+        full_refresh(df, self.path(layer, table), batch=batch)
+        return self.read(layer, table)
 
     def read(self, layer: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(layer, table))
+        return committed(self.spark, self.path(layer, table))
 
 
 def build_bronze(feeds: Mapping[str, DataFrame], legacy: DataFrame | None = None) -> DataFrame:
@@ -98,16 +97,16 @@ def topics_job(
 
 
 def publish_job(
-    layers: Layers, silver: DataFrame, members: DataFrame, summary: DataFrame, metrics: DataFrame
+    layers: Layers, silver: DataFrame, members: DataFrame, summary: DataFrame, metrics: DataFrame, batch: str | None = None
 ) -> dict[str, DataFrame]:
-    """The four warehouse tables, each one logical replace."""
+    """The four warehouse tables, each one atomic replace. With a ``batch`` id a retry only writes what is not there yet."""
     tables = {
         "reviews_cleaned": prepare.prepare_silver(silver),
         "sentiment_analysis": prepare.prepare_gold_sentiment(members),
         "topic_analysis": summary.select(*S.TOPIC_SUMMARY_SHORT),
         "model_metrics": prepare.prepare_gold_metrics(metrics),
     }
-    return {name: layers.write(df, "warehouse", name) for name, df in tables.items()}
+    return {name: layers.write(df, "warehouse", name, batch) for name, df in tables.items()}
 
 
 def full_job(

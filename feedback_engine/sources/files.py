@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from feedback_engine import schemas as S
 from feedback_engine.sources.csv_records import read_csv_records
+from feedback_engine.sources.manifest import ManifestTable
 
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
 _MISSING = {"PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
@@ -106,9 +107,14 @@ def table_where(spark: SparkSession, table: str, where: Column | None = None) ->
     return df if where is None else df.where(where)
 
 
-def full_refresh(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """One logical replace: a second run leaves one copy."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def full_refresh(df: DataFrame, path: str, partition_by: Sequence[str] = (), batch: str | None = None) -> None:
+    """One atomic replace: a second run leaves one copy, a failed one the old table. Read it with ``committed``."""
+    ManifestTable(df.sparkSession, path).replace(df, batch, partition_by)
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """A table as its last commit left it."""
+    return ManifestTable(spark, path).read()
 
 
 def jdbc_refresh(df: DataFrame, url: str, table: str, properties: Mapping[str, str]) -> None:
@@ -116,9 +122,17 @@ def jdbc_refresh(df: DataFrame, url: str, table: str, properties: Mapping[str, s
     df.write.mode("overwrite").option("truncate", "true").jdbc(url, table, properties=dict(properties))
 
 
-def append_or_replace(df: DataFrame, path: str, if_exists: str = "append") -> None:
-    modes = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
-    df.write.mode(modes[if_exists]).parquet(path)
+def append_or_replace(df: DataFrame, path: str, if_exists: str = "append", batch: str | None = None) -> None:
+    """Append, replace, or fail where the table exists. A ``batch`` that is in the table already changes nothing."""
+    table = ManifestTable(df.sparkSession, path)
+    if if_exists not in ("append", "replace", "fail"):
+        raise ValueError(f"unknown mode: {if_exists}")
+    if if_exists == "fail" and table.exists():
+        raise FileExistsError(path)
+    if if_exists == "replace":
+        table.replace(df, batch)
+    else:
+        table.append(df, batch)
 
 
 class NamedQueries:
