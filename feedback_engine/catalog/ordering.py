@@ -70,9 +70,9 @@ def head_per_group(spark, sf_dir):
       PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 3000""",
 )
 def head_per_group_large(spark, sf_dir):
-    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
-    rows = read_table(spark, sf_dir, "lineitem")
-    return RK.head_per_group_large(rows, ["l_returnflag"], order, 3000, F.col("l_orderkey")).select(
+    order = [("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", False)]
+    rows = read_table(spark, sf_dir, "lineitem").select("l_returnflag", *[c for c, _ in order])
+    return RK.head_per_group_large(rows, ["l_returnflag"], order, 3000).select(
         "l_returnflag", "l_orderkey", "l_linenumber"
     )
 

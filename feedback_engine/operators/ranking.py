@@ -14,8 +14,11 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from feedback_engine.session import materialize
+
 MD5_PREFIX = 3  # 4,096 buckets of equal expected size
 SPLITS = 256
 
@@ -48,18 +51,142 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 def head_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 ) -> DataFrame:
-    """First ``n`` rows per key; the limit is applied map-side as well."""
+    """First ``n`` rows per key. Spark limits map-side up to an ``n`` of 1,000; beyond it take ``head_per_group_large``."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
 
 
+BINS = 1_024
+TEXT_STEPS = 4  # of six bytes each
+
+
+def _levels(df: DataFrame, order: Sequence[tuple[str, bool]]) -> list[Column]:
+    """Doubles that rise with the order, none out of turn; equal ones are told apart by the next level."""
+    levels = []
+    for name, descending in order:
+        value = F.col(name)
+        if isinstance(df.schema[name].dataType, T.StringType):
+            for step in range(TEXT_STEPS):
+                part = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 6 * step + 1, 6)), 12, "0")
+                number = F.conv(part, 16, 10).cast("double")
+                levels.append(F.coalesce(-number if descending else number, F.lit(float("inf") if descending else float("-inf"))))
+            break  # what follows a text only counts between equal texts
+        number = F.nanvl(value.cast("double"), F.lit(float("inf")))
+        levels.append(F.coalesce(-number if descending else number, F.lit(float("inf") if descending else float("-inf"))))
+    return levels
+
+
+def _narrowed(regions: DataFrame, rows: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
+    """Each region cut down to the bin of its values that holds the row it needs. ``rows``: keys, level, region's columns."""
+    width = F.col("hi") - F.col("lo")
+    place = F.when(width > 0, F.least(F.floor((F.col(level) - F.col("lo")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
+    # bounds may be infinite: such values are bins of their own
+    place = F.when(F.col(level) == F.col("lo"), -1).when(F.col(level) == F.col("hi"), BINS).otherwise(F.coalesce(place, F.lit(0)))
+    bins = rows.groupBy(*keys, "need", place.alias("_bin")).agg(
+        F.min(level).alias("lo"), F.max(level).alias("hi"), F.count(F.lit(1)).alias("n")
+    )
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("_bin"))  # at most BINS + 2 rows a group
+    return (
+        bins.withColumn("_upto", upto)
+        .where((F.col("_upto") >= F.col("need")) & (F.col("_upto") - F.col("n") < F.col("need")))
+        .withColumn("need", F.col("need") - F.col("_upto") + F.col("n"))
+        .select(*keys, "need", "lo", "hi", "n")
+    )
+
+
+def large_group_survivors(
+    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], n: int, slack: int = 4
+) -> DataFrame:
+    """Rows that can be among the first ``n`` of their group: these, and at most ``slack * n`` more of a group.
+
+    The n-th row of each large group is found by refining histograms: a pass counts the group's rows in bins between two
+    bounds and keeps the bin that holds the row, until few rows or equal ones are left in it; equal rows go on with the next
+    column of the order. ``df`` is read once a pass, so hand over a stored table. Rows equal in every numeric column and
+    in the first ``6 * TEXT_STEPS`` bytes of the first text column all survive.
+    """
+    levels = {f"_l{i}": c for i, c in enumerate(_levels(df, order))}
+    names = list(levels)
+    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c.alias(name) for name, c in levels.items()])
+    own = [f"_k{i}" for i in range(len(keys))]
+    most = n * (1 + slack)
+    regions = rows.groupBy(*own).agg(F.min("_l0").alias("lo"), F.max("_l0").alias("hi"), F.count(F.lit(1)).alias("n"))
+    regions = materialize(regions.withColumn("need", F.lit(n).cast("long")).where(F.col("n") > most), "regions")
+    cuts = None  # of large groups: exact values of the levels passed, upper bound of the last one
+    passed: list[str] = []
+    for level in names:
+        done = None
+        while True:
+            ready = (F.col("n") <= n * slack) | (F.col("lo") == F.col("hi"))
+            finished = regions.where(ready)
+            done = finished if done is None else done.unionByName(finished)
+            regions = regions.where(~ready)
+            if regions.isEmpty():
+                break
+            bounds = regions.select(*own, *passed, "need", "lo", "hi")
+            inside = _within(rows, bounds, own, passed, level)
+            narrowed = _narrowed(regions, inside, own, level)
+            kept = regions.select(*own, *passed)
+            regions = materialize(_joined_on(narrowed, kept, own) if passed else narrowed, "regions")
+        done = materialize(done, "regions-done")
+        last = level == names[-1]
+        final = done if last else done.where(F.col("n") <= n * slack)
+        bound = final.select(*own, *passed, F.col("hi").alias(level))
+        for missing in names[len(passed) + 1 :]:
+            bound = bound.withColumn(missing, F.lit(None).cast("double"))
+        cuts = bound.select(*own, *names) if cuts is None else cuts.unionByName(bound.select(*own, *names))
+        if last:
+            break
+        tied = done.where(F.col("n") > n * slack).select(*own, *passed, F.col("lo").alias(level), "need", F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), "n")
+        if tied.isEmpty():
+            break
+        passed = [*passed, level]
+        following = names[len(passed)]
+        inside = _within(rows, tied.select(*own, *passed, "need"), own, passed, None)
+        regions = materialize(
+            inside.groupBy(*own, *passed, "need").agg(
+                F.min(following).alias("lo"), F.max(following).alias("hi"), F.count(F.lit(1)).alias("n")
+            ),
+            "regions",
+        )
+    cuts = materialize(cuts, "cuts")
+    better, equal = F.lit(False), F.lit(True)
+    for name in names:
+        limit = F.col(f"_c{name}")
+        better = better | (equal & (F.col(name) < limit))
+        equal = equal & (limit.isNull() | (F.col(name) == limit))
+    renamed = cuts.select(*own, F.lit(True).alias("_cut"), *[F.col(x).alias(f"_c{x}") for x in names])
+    full = df.withColumns({**{f"_k{i}": F.col(k) for i, k in enumerate(keys)}, **levels})
+    joined = _joined_on(full, renamed, own, "left")
+    return joined.where(F.col("_cut").isNull() | better | equal).select(*df.columns)
+
+
+def _joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; the keys come once."""
+    other = right.select(*[F.col(c).alias(f"_r{c}") if c in keys else F.col(c) for c in right.columns])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys], F.lit(True))
+    return left.join(other, on, how).drop(*[f"_r{k}" for k in keys])
+
+
+def _within(rows: DataFrame, regions: DataFrame, own: Sequence[str], passed: Sequence[str], level: str | None) -> DataFrame:
+    """Rows inside their group's region: equal on the levels passed, between the bounds on the next one."""
+    fixed = regions.select(*[F.col(c).alias(f"_p{c}") if c in passed else F.col(c) for c in regions.columns])
+    joined = _joined_on(rows, fixed, own)
+    for name in passed:
+        joined = joined.where(F.col(name) == F.col(f"_p{name}"))
+    if level is not None:
+        joined = joined.where(F.col(level).between(F.col("lo"), F.col("hi")))
+    return joined
+
+
 def head_per_group_large(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: Column,
-    buckets: int = 256,
+    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], n: int
 ) -> DataFrame:
-    """``head_per_group`` for an ``n`` in the thousands: first per (key, bucket), then per key."""
-    part = df.withColumn("_b", F.pmod(F.xxhash64(spread), F.lit(buckets)))
-    return head_per_group(head_per_group(part, [*keys, "_b"], order, n), keys, order, n).drop("_b")
+    """``head_per_group`` for an ``n`` in the thousands. ``order``: (column, descending), ties in Spark's order.
+
+    Only rows that can be among the first reach the window that ranks them, at most ``5 n`` of a group but for equal rows.
+    """
+    survivors = large_group_survivors(materialize(df, "ranked-rows"), keys, order, n)
+    return head_per_group(survivors, keys, [F.desc(c) if down else F.asc(c) for c, down in order], n)
 
 
 def _same(a: str, b: str, names: Sequence[str]) -> Column:
