@@ -17,11 +17,11 @@ from feedback_engine.operators import features as FT
 from feedback_engine.operators import metrics as M
 from feedback_engine.operators import models, sampling, topics
 from feedback_engine.operators import prepare as P
-from feedback_engine.plans.adapters import docs_view, read_table, reviews_view, scored_reviews, vec_view
+from feedback_engine.plans.adapters import docs_view, read_table, reviews_view, scored_reviews, text_docs, vec_view
 
 
 def clean_docs(spark, sf_dir, label: bool = True):
-    df = docs_view(spark, sf_dir, label=label)
+    df = text_docs(spark, sf_dir, label)
     return df.withColumn("clean_text", text.clean_text(F.col("raw_text")))
 
 

@@ -16,6 +16,7 @@ from feedback_engine.plans.adapters import (
     docs_view,
     read_table,
     reviews_view,
+    text_docs,
     themed_reviews,
 )
 
@@ -79,7 +80,7 @@ def top_n(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY sentiment ORDER BY n DESC, word) <= 10""",
 )
 def frequent_words(spark, sf_dir):
-    df = docs_view(spark, sf_dir).withColumn("clean_text", clean_text(F.col("raw_text")))
+    df = text_docs(spark, sf_dir).withColumn("clean_text", clean_text(F.col("raw_text")))
     return RP.frequent_words(df, sentiment="label")
 
 
@@ -603,7 +604,7 @@ TOKENS = f"""WITH {Q.docs()}, t AS (SELECT label, source, unnest({Q.clean_tokens
     f"{TOKENS} SELECT token, count(*) AS n FROM t GROUP BY token ORDER BY n DESC, token LIMIT 30",
 )
 def token_freq(spark, sf_dir):
-    return eda.token_frequencies(docs_view(spark, sf_dir, label=False), clean_tokens(F.col("raw_text")))
+    return eda.token_frequencies(text_docs(spark, sf_dir, label=False), clean_tokens(F.col("raw_text")))
 
 
 def _grouped_tokens(key: str) -> str:
@@ -613,13 +614,13 @@ def _grouped_tokens(key: str) -> str:
 
 @register("eda_token_freq_by_source", _grouped_tokens("source"))
 def token_freq_by_source(spark, sf_dir):
-    df = docs_view(spark, sf_dir, label=False)
+    df = text_docs(spark, sf_dir, label=False)
     return eda.token_frequencies(df, clean_tokens(F.col("raw_text")), 20, ["source"])
 
 
 @register("eda_token_freq_by_label", _grouped_tokens("label"))
 def token_freq_by_label(spark, sf_dir):
-    return eda.token_frequencies(docs_view(spark, sf_dir), clean_tokens(F.col("raw_text")), 20, ["label"])
+    return eda.token_frequencies(text_docs(spark, sf_dir), clean_tokens(F.col("raw_text")), 20, ["label"])
 
 
 @register(

@@ -14,7 +14,7 @@ from feedback_engine.functions import wordlists as W
 from feedback_engine.operators import prepare as P
 from feedback_engine.operators.ranking import explode_terms
 from feedback_engine.operators.topics import cluster_shares
-from feedback_engine.plans.adapters import docs_view, read_table, reviews_view, themed_reviews
+from feedback_engine.plans.adapters import read_table, reviews_view, text_docs, themed_reviews
 
 D = f"WITH {Q.docs(label=False)}"
 R = f"WITH {Q.reviews()}"
@@ -23,7 +23,7 @@ R = f"WITH {Q.reviews()}"
 def both_texts(spark, sf_dir):
     """Document and review texts together, null texts included."""
     columns = ("record_id", "raw_text")
-    docs = docs_view(spark, sf_dir, label=False).select(*columns)
+    docs = text_docs(spark, sf_dir, label=False).select(*columns)
     return docs.unionByName(reviews_view(spark, sf_dir).select(*columns))
 
 
@@ -461,7 +461,7 @@ def format_pct(spark, sf_dir):
 )
 def digits_filter(spark, sf_dir):
     split = text.split_words(text.normalize_text(F.col("raw_text")))
-    words = explode_terms(docs_view(spark, sf_dir, label=False), [], split, ["word"])
+    words = explode_terms(text_docs(spark, sf_dir, label=False), [], split, ["word"])
     return words.groupBy(text.is_keyword(F.col("word")).alias("is_keyword")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,9 +1,9 @@
 """N-grams and TF-IDF.
 
-A vocabulary is fitted with one distributed count and has at most ``max_features`` terms, so
-it is small by definition. Weighing then happens inside each row: MLlib's count vectoriser
-looks the terms up and array functions apply the weights. No (document, term) row is ever
-shuffled.
+Text is split into terms once and stored. A vocabulary is fitted with one distributed count and has at most
+``max_features`` terms, so it is small by definition; weighing then happens inside each row: MLlib's count vectoriser looks
+the terms up and array functions apply the weights, no (document, term) row is shuffled. Vocabularies of groups, of any
+number, are a table that the stored terms join.
 """
 
 from __future__ import annotations
@@ -24,9 +24,6 @@ from feedback_engine.functions.text import drop_stopwords, stopword_set, tokeniz
 from feedback_engine.operators.ranking import explode_terms, head_per_group, head_per_group_large
 from feedback_engine.session import materialize, scratch_path
 
-MAX_VOCABULARY = 1_000_000  # terms of all groups together that travel in the plan; beyond them ``group_weights``
-_GROUP_MARK = "\u0001"
-
 
 @dataclass(frozen=True)
 class TfidfSpec:
@@ -69,15 +66,10 @@ def spec_tokens(text: Column, spec: TfidfSpec) -> Column:
     return tokens
 
 
-def with_grams(df: DataFrame, text: str, spec: TfidfSpec, by: str | None = None) -> DataFrame:
-    """Add ``_grams``; with ``by`` each gram carries its group, so groups share no term."""
-    out = df.withColumn("_tokens", spec_tokens(F.col(text), spec)).withColumn(
-        "_grams", ngrams(F.col("_tokens"))
-    )
-    if by is not None:
-        mark = F.concat(F.col(by).cast("string"), F.lit(_GROUP_MARK))
-        out = out.withColumn("_grams", F.transform("_grams", lambda g: F.concat(mark, g)))
-    return out.drop("_tokens")
+def with_grams(df: DataFrame, text: str, spec: TfidfSpec) -> DataFrame:
+    """Add ``_grams``: unigrams and bigrams of the text."""
+    tokens = df.withColumn("_tokens", spec_tokens(F.col(text), spec))
+    return tokens.withColumn("_grams", ngrams(F.col("_tokens"))).drop("_tokens")
 
 
 def term_counts(df: DataFrame, grams: str = "_grams") -> DataFrame:
@@ -113,8 +105,6 @@ class Vocabulary:
     spec: TfidfSpec
     terms: tuple[str, ...]
     idf: tuple[float, ...]
-    group_sizes: dict
-    by: str | None = None
     _cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     def counter(self) -> CountVectorizerModel:
@@ -125,59 +115,20 @@ class Vocabulary:
             )
         return self._cache["counter"]
 
-    def plain_terms(self) -> list[str]:
-        return [t.rsplit(_GROUP_MARK, 1)[-1] for t in self.terms]
-
 
 def literal_array(values: Sequence, element: str) -> Column:
     """A long constant array as one folded literal instead of one expression per element."""
     return F.from_json(F.lit(json.dumps(list(values))), f"array<{element}>")
 
 
-def fit_vocabulary(
-    df: DataFrame, text: str, spec: TfidfSpec, by: str | None = None
-) -> Vocabulary:
-    """Terms with min_df <= df <= max_df·N, the most frequent first, ties by term.
+def fit_vocabulary(stored: DataFrame, spec: TfidfSpec) -> Vocabulary:
+    """Terms of stored rows with min_df <= df <= max_df·N, the most frequent first, ties by term."""
+    return left_out_vocabularies(stored, spec, None, [None], {0: stored.count()})[0]
 
-    With ``by`` document counts, limits and ranks are per group, in the same single pass.
-    """
-    keys = [by] if by else []
-    most = MAX_VOCABULARY // spec.max_features
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).limit(most + 1)
-    sizes = {(row[by] if by else None): row["n"] for row in grouped.collect()}
-    if len(sizes) > most:
-        raise ValueError(f"more than {most} groups of {spec.max_features} terms: no small vocabulary")
-    counted = term_counts(with_grams(df, text, spec))
-    rows = explode_terms(counted, keys, "_terms", ["term", "tf"])
-    stats = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    if by:
-        n_docs = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-        stats = stats.join(n_docs, by)
-    else:
-        stats = stats.withColumn("_n", F.lit(sizes.get(None, 0)))
-    usable = stats.where((F.col("df") >= spec.min_df) & (F.col("df") <= spec.max_df * F.col("_n")))
-    order = [F.desc("cf"), F.col("term")]
-    if by:
-        best = head_per_group_large(usable, keys, order, spec.max_features, F.col("term"))
-    else:
-        best = usable.orderBy(*order).limit(spec.max_features)
-    picked = sorted(
-        (f"{row[by]}{_GROUP_MARK}{row['term']}" if by else row["term"], row["df"], row["_n"])
-        for row in best.collect()  # at most max_features rows per group, checked above
-    )
-    return Vocabulary(
-        spec,
-        tuple(t for t, _, _ in picked),
-        tuple(math.log((1 + n) / (1 + d)) + 1 for _, d, n in picked),
-        sizes,
-        by,
-    )
 
-
-def weigh(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """Add ``_idx`` and ``_w``: indices and L2-normalised TF-IDF weights of the row's terms."""
+def weigh_grams(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Replace ``_grams`` by ``_idx`` and ``_w``: indices and L2-normalised TF-IDF weights of the row's terms."""
     spec = vocabulary.spec
-    rows = with_grams(df, text, spec, vocabulary.by)
     if not vocabulary.terms:
         empty = F.array().cast
         return rows.withColumns({"_idx": empty("array<int>"), "_w": empty("array<double>")}).drop("_grams")
@@ -190,26 +141,20 @@ def weigh(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
         return damped * F.get(idf, index)
 
     raw = counted.select(
-        *[c for c in df.columns],
+        *[c for c in rows.columns if c != "_grams"],
         F.col("_u.indices").alias("_idx"),
         F.zip_with("_u.values", "_u.indices", weight).alias("_raw"),
     )
     return raw.withColumn("_w", scaled_to_one(F.col("_raw"))).drop("_raw")
 
 
-def too_many_groups(df: DataFrame, by: str, spec: TfidfSpec) -> bool:
-    """Whether the groups' vocabularies together may exceed ``MAX_VOCABULARY``."""
-    most = MAX_VOCABULARY // spec.max_features
-    return df.select(by).distinct().limit(most + 1).count() > most
-
-
 def group_weights(
     df: DataFrame, keys: Sequence[str], text: str, spec: TfidfSpec, by: str
-) -> DataFrame:
-    """(keys, by, term, weight) for any number of groups, each fitted on its own.
+) -> tuple[DataFrame, DataFrame]:
+    """(keys, by, term, weight), each group fitted on its own, and the groups' sizes (by, _n).
 
-    The vocabularies stay a table that the counted terms join on (group, term); nothing reaches
-    the driver. The only window covers the terms of one row. Rows without a group have no terms.
+    The text is split once, into stored term counts. The vocabularies stay a table that they join on (group, term); nothing
+    reaches the driver. The only window covers the terms of one row. Rows without a group have no terms.
     """
     counted = term_counts(with_grams(df.select(*keys, by, text), text, spec)).select(
         *keys, by, "_terms", F.monotonically_increasing_id().alias("_row")
@@ -221,32 +166,26 @@ def group_weights(
     usable = stats.join(sizes, by).where(
         (F.col("df") >= spec.min_df) & (F.col("df") <= spec.max_df * F.col("_n"))
     )
-    best = head_per_group_large(
-        usable, [by], [F.desc("cf"), F.col("term")], spec.max_features, F.col("term")
-    )
+    best = head_per_group_large(usable, [by], [("cf", True), ("term", False)], spec.max_features)
     idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
+    best = materialize(best.select(by, "term", idf.alias("_idf")), "group-vocabularies")
     damped = 1 + F.log("tf") if spec.sublinear else F.col("tf")
-    raw = rows.join(best.select(by, "term", idf.alias("_idf")), [by, "term"]).withColumn(
-        "_w", damped * F.col("_idf")
-    )
+    raw = rows.join(best, [by, "term"]).withColumn("_w", damped * F.col("_idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_row")))
-    return raw.select(*keys, by, "term", (F.col("_w") / length).alias("weight"))
+    return raw.select(*keys, by, "term", (F.col("_w") / length).alias("weight")), sizes
 
 
 def tfidf_long(
     df: DataFrame, key: str, text: str, spec: TfidfSpec, by: str | None = None
 ) -> DataFrame:
     """(key, term, weight) rows; with ``by`` the fit is per group."""
-    if by is not None and too_many_groups(df, by, spec):
-        return group_weights(df, [key], text, spec, by)
-    vocabulary = fit_vocabulary(df, text, spec, by)
-    keys = [key, by] if by else [key]
-    weighed = weigh(df.select(*keys, text), text, vocabulary)
-    terms = literal_array(vocabulary.plain_terms(), "string")
-    rows = explode_terms(weighed, keys, F.arrays_zip("_idx", "_w"), ["_idx", "_w"])
-    return rows.select(
-        *keys, F.get(terms, F.col("_idx")).alias("term"), F.col("_w").alias("weight")
-    )
+    if by is not None:
+        return group_weights(df, [key], text, spec, by)[0]
+    stored = stored_grams(df, [key], text, spec, "grams")
+    vocabulary = fit_vocabulary(stored, spec)
+    terms = literal_array(vocabulary.terms, "string")
+    rows = explode_terms(weigh_grams(stored, vocabulary), [key], F.arrays_zip("_idx", "_w"), ["_idx", "_w"])
+    return rows.select(key, F.get(terms, F.col("_idx")).alias("term"), F.col("_w").alias("weight"))
 
 
 def stored_grams(df: DataFrame, keep: Sequence[str], text: str, spec: TfidfSpec, name: str) -> DataFrame:
@@ -255,7 +194,7 @@ def stored_grams(df: DataFrame, keep: Sequence[str], text: str, spec: TfidfSpec,
 
 
 def left_out_vocabularies(
-    stored: DataFrame, spec: TfidfSpec, fold: str, left_out: Sequence[int | None], sizes: dict[int, int]
+    stored: DataFrame, spec: TfidfSpec, fold: str | None, left_out: Sequence[int | None], sizes: dict[int, int]
 ) -> list[Vocabulary]:
     """A vocabulary for each fold left out (None: no fold), from one count of the terms.
 
@@ -263,7 +202,7 @@ def left_out_vocabularies(
     follows from the difference. ``sizes``: rows of each fold.
     """
     folds = [f for f in left_out if f is not None]
-    rows = explode_terms(term_counts(stored), [fold], "_terms", ["term", "tf"])
+    rows = explode_terms(term_counts(stored), [fold] if folds else [], "_terms", ["term", "tf"])
     parts = [F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")]
     for f in folds:
         own = F.col(fold) == f
@@ -278,7 +217,7 @@ def left_out_vocabularies(
         )
         best = usable.orderBy(F.desc("cf"), "term").limit(spec.max_features).collect()  # at most max_features rows
         picked = sorted((r["term"], math.log((1 + n) / (1 + r["df"])) + 1) for r in best)
-        out.append(Vocabulary(spec, tuple(t for t, _ in picked), tuple(w for _, w in picked), {None: n}))
+        out.append(Vocabulary(spec, tuple(t for t, _ in picked), tuple(w for _, w in picked)))
     return out
 
 
@@ -299,24 +238,24 @@ def count_vectors(stored: DataFrame, terms: Sequence[str], name: str) -> DataFra
     )
 
 
-def write_vectors(df: DataFrame, text: str, vocabulary: Vocabulary, name: str) -> DataFrame:
-    """Rows plus a sparse ``features`` vector, written once to the shared folder.
+def write_vectors(df: DataFrame, text: str, spec: TfidfSpec, name: str) -> tuple[DataFrame, Vocabulary]:
+    """Rows plus a sparse ``features`` vector, written once to the shared folder, and the vocabulary fitted on them.
 
     Iterative training reads the stored vectors again and again, so they must not be
     recomputed; Parquet also lets later steps read only the columns they need.
     """
+    stored = materialize(with_grams(df, text, spec).select(*df.columns, "_grams"), f"{name}-grams")
+    vocabulary = fit_vocabulary(stored, spec)
     vector = F.struct(
         F.lit(0).cast("byte").alias("type"),
         F.lit(len(vocabulary.terms)).alias("size"),
         F.col("_idx").alias("indices"),
         F.col("_w").alias("values"),
     )
-    weighed = weigh(df, text, vocabulary)
-    stored = weighed.select(*df.columns, vector.alias("features"))
     path = scratch_path(df.sparkSession, name)
-    stored.write.mode("overwrite").parquet(path)
+    weigh_grams(stored, vocabulary).select(*df.columns, vector.alias("features")).write.mode("overwrite").parquet(path)
     schema = T.StructType([*df.schema.fields, T.StructField("features", VectorUDT())])
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path), vocabulary
 
 
 def cluster_keywords(
@@ -332,24 +271,8 @@ def cluster_keywords(
     cluster whose rows hold stopwords only has no keywords.
     """
     rows = df.where((F.trim(text) != "") & F.col(cluster).isNotNull()).select(cluster, text)
-    if too_many_groups(rows, cluster, spec):
-        weights = group_weights(rows, [], text, spec, cluster)
-        sums = weights.groupBy(cluster, "term").agg(F.sum("weight").alias("_sum"))
-        sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        vocabulary = fit_vocabulary(rows, text, spec, by=cluster)
-        weighed = weigh(rows, text, vocabulary)
-        terms = literal_array(vocabulary.plain_terms(), "string")
-        sizes = df.sparkSession.createDataFrame(
-            [(k, n) for k, n in vocabulary.group_sizes.items()],
-            T.StructType([df.schema[cluster], T.StructField("_n", T.LongType())]),
-        )
-        sums = (
-            explode_terms(weighed, [cluster], F.arrays_zip("_idx", "_w"), ["_idx", "_w"])
-            .groupBy(cluster, "_idx")
-            .agg(F.sum("_w").alias("_sum"))
-            .withColumn("term", F.get(terms, F.col("_idx")))
-        )
+    weights, sizes = group_weights(rows, [], text, spec, cluster)
+    sums = weights.groupBy(cluster, "term").agg(F.sum("weight").alias("_sum"))
     scored = sums.join(sizes, cluster).select(
         cluster,
         "term",

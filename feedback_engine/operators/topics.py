@@ -19,7 +19,6 @@ from feedback_engine.operators.features import (
     SPECS,
     TfidfSpec,
     cluster_keywords,
-    fit_vocabulary,
     write_vectors,
 )
 from feedback_engine.operators.prepare import conform
@@ -224,7 +223,7 @@ def topic_pipeline(
         columns = {k: F.lit(None).cast("double" if "share" in k else "string") for k in SCATTERED}
         return rows.withColumns({"cluster_id": F.lit(None).cast("int"), **columns}), nothing
     if embedding is None:
-        vectors = write_vectors(filled, text, fit_vocabulary(filled, text, spec), "topic-vectors")
+        vectors = write_vectors(filled, text, spec, "topic-vectors")[0]
         method = "tfidf_fallback"
     else:
         vector = array_to_vector(F.col(embedding).cast("array<double>"))
@@ -267,8 +266,7 @@ def negative_topics(
     n = negative.count()
     if n == 0:
         return df.withColumn("topic", F.lit(None).cast("string")), empty
-    vocabulary = fit_vocabulary(negative, text, spec)
-    vectors = write_vectors(negative, text, vocabulary, "negative-vectors")
+    vectors, vocabulary = write_vectors(negative, text, spec, "negative-vectors")
     clusters = min(k, n)
     if clusters == 1:
         centres = [vectors.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()]
@@ -276,7 +274,7 @@ def negative_topics(
     else:
         model = KMeans(k=clusters, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(vectors)
         centres, assigned = model.clusterCenters(), model.transform(vectors)
-    terms = vocabulary.plain_terms()
+    terms = vocabulary.terms
     keywords = [
         (i, ", ".join(t for _, t in sorted((-w, t) for w, t in zip(centre, terms))[:top_n]))
         for i, centre in enumerate(centres)

@@ -132,10 +132,16 @@ def scored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_view(
-    spark: SparkSession, sf_dir: str, label: bool = True, dates: bool = False
+    spark: SparkSession, sf_dir: str, label: bool = True, dates: bool = False, partitions: int | None = None
 ) -> DataFrame:
-    """Documents as records; ``label`` joins the quality marks, ``dates`` the event times."""
+    """Documents as records; ``label`` joins the quality marks, ``dates`` the event times.
+
+    ``partitions``: into so many tasks the documents are dealt. Work on text wants it where the table is one file of one row
+    group, which Spark cannot split; tables of many files do without that shuffle.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    if partitions is not None:
+        docs = docs.repartition(partitions, "doc_id")
     columns = {
         "record_id": F.concat(F.lit("d"), F.col("doc_id").cast("string")),
         "source": F.col("source"),
@@ -157,6 +163,11 @@ def docs_view(
     return docs.select(*[value.alias(name) for name, value in columns.items()])
 
 
+def text_docs(spark: SparkSession, sf_dir: str, label: bool = True) -> DataFrame:
+    """Documents for work on their text: the driver's table is one row group, so it is dealt over the cores."""
+    return docs_view(spark, sf_dir, label, partitions=spark.sparkContext.defaultParallelism)
+
+
 def vec_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("record_id"), "embedding", "label"
