@@ -25,6 +25,7 @@ def differences(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     held = materialize(members.join(sets, "node").select("block", "node", "n", "vals"), "block-sets")
     sizes = held.groupBy("block").agg(F.count("*").alias("members"))
     counts = held.select("block", F.explode("vals").alias("v")).groupBy("block", "v").agg(F.count("*").alias("c"))
+    counts = counts.where("c > 1")  # what one member holds alone is no base and need not meet its block
     # at most twice the mean set size of values: they are in more than half of the members
     base = counts.join(sizes, "block").where("2 * c > members").groupBy("block").agg(F.collect_list("v").alias("base"))
     bases = sizes.join(base, "block", "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))

@@ -10,30 +10,28 @@ A list never emits all its pairs at first: its members pair with one centre. Est
 sketches filter these pairs, and exact Jaccard on full shingle sets confirms them. Confirmed links are contracted to
 components by hash joins. Lists that then still hold several components pair across components only, again with a
 filter and an exact check, so no link between different texts is lost; large groups of copies have become
-one component by then. Of long lists still open (members that share much, but less than a link takes), full sets
-are indexed by what sets them apart from the list's centre. What all members share then counts for nothing, and near
-copies of one text with changes of their own drop out before they become pairs. This step is exact.
+one component by then. Long lists still open (members that share much, but less than a link takes) are blocks whose full
+sets are kept as differences from a common base (``blocks``): what most members share counts for nothing, and near copies
+of one text with changes of their own drop out before they become pairs. This step is exact.
 
-Documents are read in Arrow batches and hashed with numpy; what a task holds is bounded by a batch.
+Documents are hashed with numpy in slices of some MB of text; whole sets lie in a stored table and are compared by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import join_counted, semi_by_id
-from feedback_engine.llm.shingles import sets_of, shared
+from feedback_engine.llm.blocks import certain_links, differences, open_pairs, size_fits
+from feedback_engine.llm.common import join_counted, names
+from feedback_engine.llm.sets import linked, set_rows, whole_sets
 from feedback_engine.session import materialize
 
 K = 128
 WORDS = 5
 SHARE = 75  # percent of the union
-STARS = 3  # centres that lists try before components pair
+STARS = 1  # centres that lists try before components pair
 SHORT_LIST = 16  # members of an open list that pair directly
 
 
@@ -47,34 +45,9 @@ def needed(n: Column) -> Column:
     return F.when(n <= K * 3 // 4 - 1, F.ceil(n * (SHARE / 100))).otherwise(67).cast("int")
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id, n (shingles), fp and fp2 (fingerprints of the set), values (retained)."""
-    schema = pa.schema(
-        [("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("vals", pa.list_(pa.int64()))]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = sets_of(batch.column(1))
-            kept = [s[:K] for s in sets]
-            offsets = np.zeros(len(kept) + 1, np.int32)
-            np.cumsum([len(k) for k in kept], out=offsets[1:])
-            flat = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-            mixed = [s ^ (s >> np.uint64(29)) for s in sets]
-            fp2 = [(m * (m | np.uint64(1))).sum(dtype=np.uint64) for m in mixed]
-            yield pa.record_batch(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
-                    pa.array(np.array(fp2, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                ],
-                schema,
-            )
-
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(run, "id long, n long, fp long, fp2 long, vals array<long>")
+def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, n, fp, fp2, vals) of (id, text): size, two fingerprints of the set, its retained values."""
+    return set_rows(docs, words, lambda n: np.minimum(n, K))
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -94,10 +67,6 @@ def postings(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _size_fits(a: str, b: str) -> Column:
-    return (F.col(a) * 100 >= F.col(b) * SHARE) & (F.col(b) * 100 >= F.col(a) * SHARE)
-
-
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) -> (a, b, sure): pairs whose sketches allow Jaccard >= 0.75.
 
@@ -120,35 +89,9 @@ def _unsigned(v: Column) -> Column:
     return v.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, node_docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have Jaccard >= 0.75. ``pairs`` is a stored table."""
-    open_pairs = pairs.where("not sure").select("a", "b")
-    involved = materialize(
-        open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")).distinct().join(node_docs, "node"),
-        "involved",
-    )
-    texts = semi_by_id(
-        docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")),
-        involved.select("id"), "id", involved.count(),
-    ).dropDuplicates(["id"])
-    texts = materialize(texts.join(involved, "id").select("node", "text"), "texts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in batches:
-            a, b, ta, tb = batch.columns
-            sets = sets_of(ta)
-            keep = []
-            for i, (node, text) in enumerate(zip(b.to_pylist(), tb, strict=True)):
-                if last[0] != node:  # rows come sorted by b
-                    last = (node, sets_of(pa.array([text.as_py()]))[0])
-                inter = shared(sets[i], last[1])
-                keep.append(inter * 100 >= (len(sets[i]) + len(last[1]) - inter) * SHARE)
-            yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = open_pairs.join(texts.selectExpr("node a", "text ta"), "a").join(texts.selectExpr("node b", "text tb"), "b")
-    checked = joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-    return pairs.where("sure").select("a", "b").union(checked)
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets have Jaccard >= 0.75. ``pairs`` is a stored table."""
+    return pairs.where("sure").select("a", "b").union(linked(pairs.where("not sure").select("a", "b"), sets, SHARE))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,75 +128,6 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.selectExpr("a node", "b label")
 
 
-def across_long_lists(members: DataFrame, docs: DataFrame, node_docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(centre, node, label) -> pairs (a, b) of different labels that can have Jaccard >= 0.75.
-
-    With D the shingles in which a set differs from the centre's, two sets differ from each other where their D
-    differ. Jaccard >= 0.75 means that they differ in at most (n_a + n_b) / 7 shingles, so D_a and D_b share at least
-    (d_a + d_b) / 2 with d = |D| - n / 7. Links to the centre are known: of two sets with different labels one is not
-    linked to it, which makes d_a + d_b positive. So such a pair shares a shingle of its D, and it appears only where
-    the places of the shared shingle in both D, rarest first, leave room for enough of them.
-    """
-    nodes = members.select("node").union(members.select(F.col("centre").alias("node"))).distinct()
-    chosen = materialize(nodes.join(node_docs, "node"), "open-nodes")
-    texts = semi_by_id(
-        docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")),
-        chosen.select("id"), "id", chosen.count(),
-    ).dropDuplicates(["id"])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.view(np.int64) for s in sets_of(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "vals"])
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, centre = batch.column(3), batch.column(4)
-            apart = [
-                np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)
-                for x, y in zip(own, centre, strict=True)
-            ]
-            sizes = pa.array([len(x.values) for x in own], pa.int64())
-            yield pa.record_batch(
-                [*batch.columns[:3], sizes, pa.array([len(x) for x in apart], pa.int64()), pa.array(apart, pa.list_(pa.int64()))],
-                ["centre", "node", "label", "n", "n_apart", "apart"],
-            )
-
-    sets = materialize(
-        texts.join(chosen, "id").select("node", "text").mapInArrow(hashed, "node long, vals array<long>"), "open-sets"
-    )
-    both = members.join(sets, "node").join(sets.selectExpr("node centre", "vals of_centre"), "centre")
-    apart = both.select("centre", "node", "label", "vals", "of_centre").mapInArrow(
-        differ, "centre long, node long, label long, n long, n_apart long, apart array<long>"
-    )
-    rows = materialize(
-        apart.select("centre", "node", "label", "n", "n_apart", F.explode("apart").alias("v")), "open-shingles"
-    )
-    often = rows.groupBy("centre", "v").agg(F.count("*").alias("df")).where("df > 1")
-    common = rows.join(often, ["centre", "v"]).groupBy("centre", "node", "label", "n", "n_apart").agg(
-        F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by_rarity")
-    )
-    alone = F.col("n_apart") - F.size("by_rarity")  # shingles of one set come first
-    posted = common.select(
-        "centre", "node", "label", "n", "n_apart", alone.alias("alone"), F.posexplode("by_rarity").alias("at", "p")
-    ).select(
-        "centre", "node", "label", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("p.v").alias("v"), "n_apart",
-        (F.col("n_apart") - F.col("n") / 7).alias("d"),
-    )
-    # no partner has d below -n / 7, nor n above the own one / 0.75
-    posted = posted.where(F.col("n_apart") - F.col("at") >= (F.col("d") - F.col("n") * (100 / SHARE / 7)) / 2 - 1e-6)
-    posted = materialize(posted, "open-postings")
-    left = posted.selectExpr("centre", "v", "node a", "label la", "n na", "n_apart - at ra", "d da")
-    right = posted.selectExpr("centre", "v", "node b", "label lb", "n nb", "n_apart - at rb", "d db")
-    enough = F.least("ra", "rb") >= (F.col("da") + F.col("db")) / 2 - 1e-6
-    pairs = left.join(
-        right,
-        (left["centre"] == right["centre"]) & (left["v"] == right["v"]) & (F.col("a") < F.col("b"))
-        & (F.col("la") != F.col("lb")) & enough & _size_fits("na", "nb"),
-    )
-    return pairs.select("a", "b")
-
-
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -266,17 +140,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fewer than five words are one shingle. Rows that repeat an id with one text share a verdict; null ids are never
     the smallest unless alone. An empty table gives an empty table. Other columns are not read.
     """
-    table = materialize(sketches(docs, id_col, text_col), "sketches")
-    # a node is a distinct shingle set, named by a fingerprint of it; its document is the smallest id
-    node = F.xxhash64("n", "fp", "fp2")
-    named = table.where("n > 0").withColumn("node", node)
-    groups = materialize(named.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "sets")
-    firsts = named.select("node", "id", "n", "vals").join(groups.select("node", "id"), ["node", "id"])
-    nodes = materialize(firsts.groupBy("node").agg(F.first("n").alias("n"), F.first("vals").alias("vals")), "nodes")
-    node_docs = groups.select("node", "id")
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    table = materialize(sketches(narrow).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # a node is a distinct shingle set, named by one of its rows
+    named = table.where("n > 0")
+    groups = named.groupBy("n", "fp", "fp2").agg(F.min("id").alias("id"), F.min("row").alias("node"), F.count("*").alias("copies"))
+    groups = materialize(groups, "sets")
+    nodes = named.select(F.col("row").alias("node"), "n", "vals").join(groups.select("node"), "node", "left_semi")
+    nodes = materialize(nodes, "nodes")
 
     posted = materialize(postings(nodes), "postings")
     n_posted = posted.count()
+    wanted = groups.join(posted.select("node").distinct(), "node").drop("copies")
+    sets = materialize(whole_sets(narrow, wanted, WORDS), "whole-sets")
     labels = links = tried = lists = None
     for turn in range(STARS):
         # a list's first centre is its smallest set; later ones differ from list to list, only components count then
@@ -291,12 +167,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lists = lists if lists is not None else centred
         stars = (
             join_counted(marked, centred, ["v"], "members", n_posted, F.col("node"))
-            .where("c is not null and label <> lc").where(_size_fits("n", "nc"))
+            .where("c is not null and label <> lc").where(size_fits("n", "nc", SHARE))
             .selectExpr("least(node, c) a", "greatest(node, c) b").distinct()
         )
         stars = materialize(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "pairs")
         passed = materialize(estimated(stars, nodes), "estimated")
-        found = materialize(confirmed(passed, docs, node_docs, id_col, text_col), "confirmed")
+        found = materialize(confirmed(passed, sets), "confirmed")
         tried = stars if tried is None else tried.union(stars)
         links = found if links is None else links.union(found)
         labels = components(links)
@@ -308,21 +184,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = marked.join(open_lists.where(F.col("members") <= SHORT_LIST), "v")
     short = materialize(short.select("v", "node", "n", "label"), "short-lists")
     left, right = short.selectExpr("v", "node a", "n na", "label la"), short.selectExpr("v", "node b", "n nb", "label lb")
-    across = left.join(right, "v").where("a < b and la <> lb").where(_size_fits("na", "nb")).select("a", "b")
-    long = open_lists.where(F.col("members") > SHORT_LIST).join(lists.selectExpr("v", "c centre"), "v").select("v", "centre")
-    of_long = materialize(marked.join(long, "v").select("centre", "node", "label").distinct(), "long-lists")
-    across = across.union(across_long_lists(of_long, docs, node_docs, id_col, text_col))
-    rest = across.distinct().join(tried, ["a", "b"], "left_anti")
-    rest = materialize(rest, "pairs-across")
-    passed = materialize(estimated(rest, nodes), "estimated")
-    more = confirmed(passed, docs, node_docs, id_col, text_col)
-    labels = components(links.union(more))
+    across = left.join(right, "v").where("a < b and la <> lb").where(size_fits("na", "nb", SHARE)).select("a", "b")
+    rest = materialize(across.distinct().join(tried, ["a", "b"], "left_anti"), "pairs-across")
+    tried = tried.union(rest)
+    links = links.union(materialize(confirmed(materialize(estimated(rest, nodes), "estimated"), sets), "confirmed"))
+
+    long = open_lists.where(F.col("members") > SHORT_LIST).join(lists.selectExpr("v", "c block"), "v").select("v", "block")
+    members = materialize(posted.join(long, "v").select("block", "node").distinct(), "long-lists")
+    apart = differences(members, sets, SHARE)
+    links = links.union(materialize(certain_links(apart), "certain-links"))
+    pairs = open_pairs(apart, components(links), SHARE).join(tried, ["a", "b"], "left_anti")
+    links = links.union(materialize(linked(pairs, sets, SHARE), "confirmed"))
+    labels = components(links)
 
     named_groups = _labelled(groups, labels)
     smallest = named_groups.groupBy("label").agg(F.min("id").alias("component"))
-    of_node = materialize(named_groups.join(smallest, "label").select("node", "copies", "component"), "components")
-    rows = table.select("id", "n", F.when(F.col("n") > 0, node).alias("node"))
-    found = join_counted(rows, of_node, ["node"], "copies", table.count(), F.col("id"))
+    of_set = named_groups.join(smallest, "label").select("n", "fp", "fp2", "copies", "component")
+    rows = table.select("id", "n", "fp", "fp2", "row")
+    found = join_counted(rows, materialize(of_set, "components"), ["n", "fp", "fp2"], "copies", table.count(), F.col("row"))
     component = F.coalesce("component", "id")
     return found.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -335,10 +214,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that repeat an id stay together; drop exact duplicates first to have one of them.
     """
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
+    gone_id = names(docs, "gone")["gone"]
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias(gone_id)).distinct()
     gone = materialize(gone, "near-duplicates")
-    key = F.col(f"`{id_col}`").cast("long")
-    n_gone = gone.count()
-    if n_gone <= 4_000_000:
-        gone = F.broadcast(gone)
-    return docs.join(gone, key == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(gone_id), "left_anti")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-CHUNK = 2_000_000  # bytes of text hashed at a time: temporary arrays stay below some 100 MB
+CHUNK = 500_000  # bytes of text hashed at a time: temporary arrays stay below some 50 MB
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
@@ -89,8 +89,3 @@ def sets_of(texts: pa.Array, n_words: int = WORDS) -> list[np.ndarray]:
         out += _hash_chunk(np.frombuffer(b"".join(raw[at:end]), np.uint8), bounds, n_words)
         at = end
     return out
-
-
-def shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Values in both sorted arrays of distinct values."""
-    return len(np.intersect1d(a, b, assume_unique=True))
