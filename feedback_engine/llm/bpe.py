@@ -49,6 +49,15 @@ class Bpe:
         return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
 
 
+    def ids_with_added(self, text: str, added: tuple[tuple[str, int], ...]) -> bytes:
+        """As ``tokenizers`` encodes by default: added tokens that stand in the text are their ids, what lies between is text."""
+        present = dict((t, i) for t, i in added if t in text)
+        if not present:
+            return self.ids(text)
+        parts = re.split(f"({'|'.join(re.escape(t) for t in sorted(present, key=len, reverse=True))})", text)
+        return b"".join(present[x].to_bytes(4, "little") if x in present else self.ids(x) for x in parts if x)
+
+
 @lru_cache(maxsize=2)
 def load(ranks_path: str, pattern: str) -> Bpe:
     return Bpe(ranks_path, pattern)

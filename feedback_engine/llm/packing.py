@@ -9,6 +9,7 @@ equal length, counted over buckets so that a length with most pieces (full ones)
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -28,17 +29,20 @@ MOST_BUCKETS = 1 << 16
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Where tasks read the vocabulary; the id that ends a document."""
+    """Where tasks read the vocabulary; the id that ends a document; added tokens, which are whole wherever they stand."""
 
     ranks_path: str
     pattern: str
     end_id: int = 2
+    added: tuple[tuple[str, int], ...] = ()
 
 
 def public_vocabulary(end_id: int = 2) -> Vocabulary:
     import public_tokenizers
 
-    return Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = tuple((t["content"], t["id"]) for t in json.load(file)["added_tokens"])
+    return Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id, added)
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -63,7 +67,7 @@ def pieces(
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = bpe.ids(text.as_py() or "") + end
+                ids = bpe.ids_with_added(text.as_py() or "", vocabulary.added) + end
                 rows += [
                     (doc_id, i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
                     for i, (start, length) in enumerate(cut(len(ids) // 4, size))
