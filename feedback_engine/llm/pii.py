@@ -5,12 +5,13 @@ spelled digits, at/dot words) to plain text and keep, for every character they w
 came from. The same patterns run on the rewritten text, and what they find is mapped back to source offsets. Spans are code
 points, end exclusive.
 
-Patterns never rescan a stretch, so a text's cost is linear in its length.
+Patterns read a stretch a bounded number of times, so a text's cost is linear in its length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -31,19 +32,78 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOKS = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХαονρικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTYXaovpikABEZHIKMNOPTYX", strict=True))
 _LOOKS |= {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}  # full-width forms
 _LOOKS |= {chr(0x2010 + i): "-" for i in range(6)}
-_DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_DIGITS = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
 _TOP_LEVEL = "com org net edu gov io co info de fr es uk eu us"
 
+_DIGIT_OF = {word: str(i) for line in _DIGITS for i, word in enumerate(line.split())} | {"oh": "0"}
+_ANY_DIGIT = "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + "|[0-9]"
 _LOOK_TABLE = str.maketrans(_LOOKS)
 _LOOK_SEARCH = re.compile("[" + "".join(map(re.escape, sorted(_LOOKS))) + "]")
-_SPELLED = re.compile(rf"(?i)(?<![a-z0-9])(?:(?:{'|'.join(_DIGITS)}|oh|[0-9])(?![a-z])[ ,-]{{0,2}}){{7,}}")
-_DIGIT_WORD = re.compile(rf"(?i){'|'.join(_DIGITS)}|oh|[0-9]")
+_SPELLED = re.compile(rf"(?i)(?<![a-zà-ÿ0-9])(?:(?:{_ANY_DIGIT})(?![a-zà-ÿ])[ ,-]{{0,2}}){{7,}}")
+_DIGIT_WORD = re.compile(rf"(?i){_ANY_DIGIT}")
+_MAYBE_SPELLED = re.compile("|".join(sorted(_DIGIT_OF, key=len, reverse=True)))
 _AT = re.compile(r"(?i)(?<=[a-z0-9])\s?(?:\[at\]|\(at\)|\{at\}|<at>)\s?(?=[a-z0-9])")
 _DOT = re.compile(r"(?i)(?<=[a-z0-9])\s?(?:\[dot\]|\(dot\)|\{dot\}|<dot>)\s?(?=[a-z0-9])")
-_BARE = re.compile(
-    r"(?i)(?<![a-z0-9._%+-])[a-z0-9_%+-]+(?: dot [a-z0-9_-]+)* at [a-z0-9-]+(?: dot [a-z0-9-]+)*? dot "
-    rf"(?:{_TOP_LEVEL.replace(' ', '|')})(?![a-z0-9])"
-)
+_AT_WORD = re.compile(r"(?i) at(?= )")
+_LOCAL_END = re.compile(r"(?i)[a-z0-9_%+-]+\Z")
+_LOCAL_WORD = re.compile(r"(?i)[a-z0-9_-]+")
+_HOST_WORD = re.compile(r"(?i)[a-z0-9-]+")
+_LETTERS = re.compile(r"(?i)[a-z0-9]+")
+_TOPS = frozenset(_TOP_LEVEL.split())
+
+
+def _local_start(words: list[str]) -> int | None:
+    """Characters at the end of the joined ``words`` that are ``a dot b dot c``: the longest such local part."""
+    size, best = 0, None
+    i = len(words) - 1
+    while i >= 0:
+        own = _LOCAL_END.search(words[i])
+        if own is None:
+            break
+        if own.start() == 0 or words[i][own.start() - 1] != ".":
+            best = size + len(own[0])
+        if i < 2 or words[i - 1].lower() != "dot" or not _LOCAL_WORD.fullmatch(words[i]):
+            break
+        size += len(words[i]) + 5
+        i -= 2
+    return best
+
+
+def _host_end(words: list[str]) -> int | None:
+    """Characters of ``words`` up to the first top-level domain in ``host dot name dot com``."""
+    if not _HOST_WORD.fullmatch(words[0]):
+        return None
+    size = len(words[0])
+    for i in range(1, len(words) - 1, 2):
+        if words[i].lower() != "dot":
+            return None
+        letters = _LETTERS.match(words[i + 1])
+        if letters and letters[0].lower() in _TOPS:
+            return size + 5 + len(letters[0])
+        if not _HOST_WORD.fullmatch(words[i + 1]):
+            return None
+        size += 5 + len(words[i + 1])
+    return None
+
+
+def bare_addresses(text: str) -> list[Span]:
+    """``name at host dot com`` in plain words. The stretches between the words ``at`` are each read twice, never more."""
+    out: list[Span] = []
+    places, free = [m.start() for m in _AT_WORD.finditer(text)], 0
+    for i, at in enumerate(places):
+        following = places[i + 1] if i + 1 < len(places) else len(text)
+        end = _host_end(text[at + 4 : following].split(" ")) if following > at + 4 else None
+        start = _local_start(text[free:at].split(" ")) if end and at > free else None
+        free = at + 4
+        if start:
+            out.append((at - start, at + 4 + end))
+            free = at + 4 + end
+    return out
 
 
 def _luhn(digits: str) -> bool:
@@ -101,12 +161,12 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
     look = text.translate(_LOOK_TABLE) if not text.isascii() and _LOOK_SEARCH.search(text) else text  # one sign each
     low = look.lower()
     edits: list[tuple[int, int, list[tuple[str, int, int]]]] = []  # source stretch -> (sign, begin, end)
-    if sum(map(low.count, _DIGITS)) >= 7:
+    if len(_MAYBE_SPELLED.findall(low)) >= 7:
         for m in _SPELLED.finditer(look):
             signs = []
             for w in _DIGIT_WORD.finditer(look, *m.span()):
                 word = w[0].lower()
-                sign = word if word in "0123456789" else "0" if word == "oh" else str(_DIGITS.index(word))
+                sign = word if word in "0123456789" else _DIGIT_OF[word]
                 signs.append((sign, w.start(), w.end()))
             tail = signs[-1][2]
             edits.append((m.start(), tail, signs))
@@ -114,9 +174,9 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
         for pattern, sign in ((_AT, "@"), (_DOT, ".")):
             edits += [(*m.span(), [(sign, *m.span())]) for m in pattern.finditer(look)]
         if " dot " in low and " at " in low:
-            for m in _BARE.finditer(look):
-                for w in re.finditer(r"(?i) (at|dot) ", m[0]):
-                    a, b = m.start() + w.start(), m.start() + w.end()
+            for start, end in bare_addresses(look):
+                for w in re.finditer(r"(?i) (at|dot) ", look[start:end]):
+                    a, b = start + w.start(), start + w.end()
                     edits.append((a, b, [("@" if w[1].lower() == "at" else ".", a, b)]))
     if look == text and not edits:
         return None
@@ -161,12 +221,21 @@ def _joined(spans: dict[str, list[Span]]) -> str:
 def all_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Base spans, and hidden ones that overlap none of them."""
     out = {k: list(v) for k, v in base.items()}
-    taken = [s for v in base.values() for s in v]
+    starts: list[int] = []  # of stretches taken, apart from each other and in order
+    ends: list[int] = []
+    for a, b in sorted(s for v in base.values() for s in v):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind, spans in hidden_spans(text).items():
         for a, b in spans:
-            if all(b <= x or y <= a for x, y in taken):
+            i = bisect_right(starts, a)
+            if (i == 0 or ends[i - 1] <= a) and (i == len(starts) or starts[i] >= b):
                 out[kind].append((a, b))
-                taken.append((a, b))
+                starts.insert(i, a)
+                ends.insert(i, b)
     return out
 
 
