@@ -3,8 +3,9 @@
 All rolling word 3-grams of all texts join by hash to their places in a small table of templates. A hit votes for its diagonal:
 its place in the text minus its place in the template. Votes are counted by diagonal, so a template that stands word for word gets
 all its votes on one; inserted or missing words shift the rest to a neighbouring diagonal, and neighbours merge to a
-span. A span counts when it covers enough of the template and is not much longer than it. Hits compare the words
-themselves as well, so a full diagonal is an exact match.
+span. A span is verified against the template: a gram of the template counts once, however often the text has it, and only
+where the span's diagonals follow in the template's order. A span counts when it then covers enough of the template and is
+not much longer than it. Hits compare the words themselves as well, so a full diagonal is an exact match.
 
 Only DataFrame functions are used. The template table is fixed and small, so it is broadcast.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 GRAM = 3
 NEAR = 3  # diagonals this close merge
 COVER = 0.6  # share of a template's grams that a span needs
+MOST_GRAMS = 63  # of a template: places seen are bits of a long
 LONGER = 1.5  # span over template length, at most
 
 
@@ -84,6 +86,8 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...] = TEMPLA
         words = template.text.split()
         if len(words) < GRAM:
             raise ValueError(f"template {template.text!r} is shorter than {GRAM} words")
+        if len(words) - GRAM >= MOST_GRAMS:
+            raise ValueError(f"template {template.text!r} has more than {MOST_GRAMS} grams; give it in parts")
         rows += [
             (number, template.label, template.base, len(words), at, words[at : at + GRAM])
             for at in range(len(words) - GRAM + 1)
@@ -110,9 +114,12 @@ def _votes(docs: DataFrame, id_col: str, text_col: str, grams: DataFrame) -> Dat
     same = (F.col("hash") == F.col("t_hash")) & (F.slice("words", F.col("at") + 1, GRAM) == F.col("t_words"))
     hits = exploded.join(F.broadcast(grams), same, "left").where("template is not null or hash is null")
     return (
-        hits.select("row", "id", "n_words", "template", "label", "base", "length", (F.col("at") - F.col("t_at")).alias("diagonal"), "at")
+        hits.select("row", "id", "n_words", "template", "label", "base", "length", (F.col("at") - F.col("t_at")).alias("diagonal"), "at", "t_at")
         .groupBy("row", "id", "n_words", "template", "label", "base", "length", F.when(F.col("template").isNotNull(), F.col("diagonal")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"))
+        .agg(
+            F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.min("t_at").alias("t_low"),
+            F.max("t_at").alias("t_high"), F.bit_or(F.expr("shiftleft(1L, t_at)")).alias("seen"),
+        )
     )
 
 
@@ -129,10 +136,14 @@ def scan(
     gap = F.col("diagonal") - F.lag("diagonal").over(of_template)
     apart = F.coalesce((gap > NEAR) | F.col("base"), F.lit(True)).cast("int")
     numbered = votes.withColumn("starts", apart).withColumn("band", F.sum("starts").over(of_template))
-    spans = numbered.groupBy("row", "id", "n_words", "template", "label", "base", "length", "band").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal")
+    # a diagonal counts where it goes on in the template behind those before it in the text
+    earlier = Window.partitionBy("row", "template", "band").orderBy("low", "diagonal").rowsBetween(Window.unboundedPreceding, -1)
+    follows = F.coalesce(F.col("t_low") > F.max("t_high").over(earlier), F.lit(True))
+    checked = numbered.withColumn("seen", F.when(follows, F.col("seen")).otherwise(F.lit(0).cast("long")))
+    spans = checked.groupBy("row", "id", "n_words", "template", "label", "base", "length", "band").agg(
+        F.sum("votes").alias("votes"), F.bit_count(F.bit_or("seen")).alias("covered"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal")
     )
-    cover = F.least(F.col("votes") / (F.col("length") - GRAM + 1), F.lit(1.0))
+    cover = F.col("covered") / (F.col("length") - GRAM + 1)
     fits = F.col("high") - F.col("low") + GRAM <= F.col("length") * LONGER
     exact = F.coalesce(F.col("base") & (F.col("votes") == F.col("length") - GRAM + 1), F.lit(False))
     close = F.coalesce(~F.col("base") & (cover >= COVER) & fits, F.lit(False))
