@@ -43,39 +43,43 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z0-9]+")
+_LAYOUT = re.compile(r"(?:has|no|with|without|hide|show)[-_]")
 _SPACE = re.compile(r"\s+")
 SURE = 1_000.0
 
 
+class _Open:
+    """An element: its place in the tree, whether it is banned by what it is or by a name, whether it is favoured."""
+
+    __slots__ = ("tag", "parent", "depth", "banned", "named", "favoured")
+
+    def __init__(self, tag: str, parent: _Open | None, banned: bool, named: bool, favoured: bool):
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.banned, self.named, self.favoured = banned, named, favoured
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # characters inside links
     tag: str
-    path: tuple[int, ...]  # numbers of the elements around it
+    node: _Open  # the element it stands in
     banned: bool
     favoured: bool
 
 
-class _Open:
-    __slots__ = ("tag", "number", "banned", "favoured")
-
-    def __init__(self, tag: str, number: int, banned: bool, favoured: bool):
-        self.tag, self.number, self.banned, self.favoured = tag, number, banned, favoured
-
-
 def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
-    stack = [_Open("", 0, False, False)]
+    stack = [_Open("", None, False, False, False)]
     parts: list[str] = []
-    linked = links = number = 0
+    linked = links = 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
             top = stack[-1]
-            out.append(Block(text, linked, top.tag, tuple(o.number for o in stack), top.banned, top.favoured))
+            out.append(Block(text, linked, top.tag, top, top.banned or top.named, top.favoured))
         parts.clear()
         linked = 0
 
@@ -122,13 +126,15 @@ def blocks_of(html: str) -> list[Block]:
         elif tag in _BLOCKS_CLOSE_P:
             close(("p",))
         top = stack[-1]
-        words = {w for found in _NAMES.finditer(m[4]) for w in _WORD.findall("".join(g or "" for g in found.groups()).lower())}
+        names = [n for found in _NAMES.finditer(m[4]) for n in "".join(g or "" for g in found.groups()).lower().split()]
+        # "has-sidebar" and the like describe what a wrapper has elsewhere
+        words = {w for n in names if not _LAYOUT.match(n) for w in _WORD.findall(n)}
         favoured = top.favoured or tag in _MAIN or bool(words & _GOOD_NAMES)
         site_header = (tag == "header" or "header" in words) and not top.favoured
-        bad = words & _BAD_NAMES
-        banned = top.banned or tag in _NEVER or site_header or bool(bad) and tag not in ("html", "body") and not (tag in _MAIN)
-        number += 1
-        stack.append(_Open(tag, number, banned, favoured))
+        banned = top.banned or tag in _NEVER or site_header
+        # a page has one <main>: it is content whatever the wrappers around it are called
+        named = tag != "main" and (top.named or bool(words & _BAD_NAMES) and tag not in ("html", "body", "article"))
+        stack.append(_Open(tag, top, banned, named, favoured))
     if at < len(html):
         parts.append(html[at:])
     flush()
@@ -159,18 +165,20 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Neighbours in page order, and the nearest earlier block under the same parent; closer in the DOM ties stronger."""
 
     def tie(a: Block, b: Block) -> float:
-        common = 0
-        for x, y in zip(a.path, b.path, strict=False):
-            if x != y:
-                break
-            common += 1
-        return 1.0 / (1 + max(len(a.path), len(b.path)) - common)
+        x, y = a.node, b.node
+        deepest = max(x.depth, y.depth)
+        while x is not y:  # up to the common element; page order makes the way short on the whole
+            if x.depth >= y.depth:
+                x = x.parent
+            else:
+                y = y.parent
+        return 1.0 / (1 + deepest - x.depth)
 
     out, last_under = [], {}
     for i, block in enumerate(blocks):
         if i:
             out.append((i - 1, i, tie(blocks[i - 1], block)))
-        parent = block.path[-2] if len(block.path) > 1 else 0
+        parent = id(block.node.parent)
         before = last_under.get(parent)
         if before is not None and before < i - 1:
             out.append((before, i, tie(blocks[before], block)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -127,8 +128,9 @@ def test_packing(docs, nothing, spark):
     from tokenizers import Tokenizer
 
     coding = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    coding.encode_special_tokens = True
-    odd = spark.createDataFrame([(20, "<|endoftext|> ½٣ don't\r\n   x", "en", "a", 1, 0, None)], DOCS)
+    texts = ["<|endoftext|> ½٣ don't\r\n   x", "a<|endoftext|>", "  <|endoftext|><|endoftext|>  b <|endoftext", "é <|endoftext|>\n"]
+    assert coding.encode(texts[1], add_special_tokens=False).ids == [64, 50256]
+    odd = spark.createDataFrame([(20 + i, t, "en", "a", 1, 0, None) for i, t in enumerate(texts)], DOCS)
     both = docs.union(odd)
     rows = packing.pack(both, packing.public_vocabulary()).collect()
     at = {}
@@ -248,6 +250,79 @@ def test_license_text_with_changes(spark):
     assert found[2].labels == "" and found[2].score == 0
 
 
+def test_license_grams_count_once_and_in_order(spark):
+    template = next(t for t in licenses.TEMPLATES if t.label == "bsd").text
+    head, tail = template.split(" in source ")
+    rows = [
+        (1, "the gnu general public gnu general public notice"),
+        (2, f"in source {tail} {head}"),  # its halves in the wrong order
+        (3, f"{head} as well as in source {tail}"),
+        (4, "gnu general public license and the gnu general public license"),
+    ]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].labels == "" and found[1].score == 0
+    assert found[3].labels == "bsd" and found[4].labels == "gpl" and found[4].score == 1
+    assert found[2].score < found[3].score
+
+
+@pytest.mark.parametrize(
+    "wrapper", ['<div class="content has-sidebar"><article>%s</article></div>', '<div class="site no-banner"><main>%s</main></div>',
+                '<div class="overlay-page"><main>%s</main></div>', '<div id="with-comments"><div>%s</div></div>'],
+)
+def test_layout_names_do_not_ban_the_article(wrapper):
+    text = "An article paragraph that has quite a few words in it, enough to be read as one."
+    page = f"<body>{wrapper % f'<h1>Title</h1><p>{text}</p>'}<div class=sidebar><p>{text} again</p></div></body>"
+    assert main_text.main_text(page) == f"Title {text}"
+    assert main_text.main_text(f'<div class="comments"><article class="comment"><p>{text}</p></article></div>') == ""
+
+
+def seconds(run, *args) -> float:
+    best = float("inf")
+    for _ in range(3):
+        start = time.perf_counter()
+        run(*args)
+        best = min(best, time.perf_counter() - start)
+    return best
+
+
+@pytest.mark.parametrize(
+    "make, run",
+    [
+        (lambda n: "x at y " + "a dot " * n, lambda t: pii.all_spans(t, pii.plain_spans(t))),
+        (lambda n: "x at y" + " dot y" * n, lambda t: pii.all_spans(t, pii.plain_spans(t))),
+        (lambda n: "a [at] b.com, " * n, lambda t: pii.all_spans(t, pii.plain_spans(t))),
+        (lambda n: "<div>a" * n, main_text.blocks_of),
+        (lambda n: "<div>a" * n, lambda t: main_text.edges_of(main_text.blocks_of(t))),
+    ],
+)
+def test_time_grows_with_the_text(make, run):
+    """Eight times the text takes far less than 64 times the time."""
+    small, large = seconds(run, make(2_000)), seconds(run, make(16_000))
+    assert large < 24 * max(small, 0.002)
+
+
+def test_bare_addresses_equal_the_pattern():
+    tops = "com|org|net|edu|gov|io|co|info|de|fr|es|uk|eu|us"
+    pattern = re.compile(
+        r"(?i)(?<![a-z0-9._%+-])[a-z0-9_%+-]+(?: dot [a-z0-9_-]+)* at [a-z0-9-]+(?: dot [a-z0-9-]+)*? dot "
+        rf"(?:{tops})(?![a-z0-9])"
+    )
+    rng = np.random.default_rng(4)
+    words = ["a", "b-c", "x.y", "dot", "com", "Dot", "(jo", "de,", "io", "q_1", "", "dot", "dot"]
+    for _ in range(20_000):  # the word "at" itself is no part of a name or host
+        left, right = (list(rng.choice(words, int(rng.integers(1, 7)))) for _ in range(2))
+        text = " ".join([*left, str(rng.choice(["at", "AT"])), *right])
+        assert pii.bare_addresses(text) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_digit_words_of_four_languages():
+    for line in pii._DIGITS:
+        digits = line.split()
+        text = "call " + " ".join(digits[int(d)] for d in "4111111111111111") + " now"
+        shown = pii.all_spans(text, pii.plain_spans(text))
+        assert [text[a:b] for a, b in shown["card"]] == [text[5:-4]]
+
+
 def test_main_text(spark):
     ship_code(spark)
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site name</header>
