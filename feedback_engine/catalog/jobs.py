@@ -67,7 +67,10 @@ def topics(spark, sf_dir):
     scored = _silver(spark, sf_dir, layers).withColumn(
         "predicted_label", F.coalesce("label", F.lit(S.NEGATIVE))
     )
-    return jobs.topics_job(layers, scored)[1].drop("processed_at")
+    members, summary = jobs.topics_job(layers, scored)
+    # both tables of the job: the summary, and how many member rows carry each of its clusters
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_members"))
+    return summary.drop("processed_at").join(sizes, "cluster_id", "left")
 
 
 @register(

@@ -10,8 +10,9 @@ from feedback_engine.catalog import sqltext as Q
 from feedback_engine.functions import rules, text
 from feedback_engine.functions.wordlists import NEGATIVE_NOISE, POSITIVE_NOISE
 from feedback_engine.operators import prepare as P
+from feedback_engine.operators import themes as TH
 from feedback_engine.operators import topics
-from feedback_engine.plans.adapters import docs_view, read_table, reviews_view, themed_reviews
+from feedback_engine.plans.adapters import clustered_reviews, docs_view, read_table, reviews_view, themed_reviews
 from feedback_engine.sources import payloads
 
 R = f"WITH {Q.reviews()}"
@@ -135,11 +136,10 @@ def fill_strip_default(spark, sf_dir):
     "prj_normalize_reviews",
     f"""{R} SELECT record_id, source, published_at, CAST(NULL AS VARCHAR) AS title, raw_text, rating,
     CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS problem_category,
-    CAST(NULL AS VARCHAR) AS complaint_status, label, app_version FROM reviews
-    WHERE source = 'google_play'""",
+    CAST(NULL AS VARCHAR) AS complaint_status, label, app_version FROM reviews""",
 )
 def normalize_reviews(spark, sf_dir):
-    raw = P.by_source(reviews_view(spark, sf_dir), S.REVIEW_SOURCE)
+    raw = reviews_view(spark, sf_dir)
     landed = raw.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
     return P.normalize_reviews(landed)
 
@@ -394,15 +394,21 @@ def coerce_dates(spark, sf_dir):
 
 @register(
     "join_theme_attributes",
-    f"""WITH {Q.themed()} SELECT theme, count(*) AS n, mode(source ORDER BY source) AS dominant_source,
-    {Q.theme_action("theme")} AS action FROM themed WHERE predicted_label = 'Negativo' GROUP BY theme""",
+    f"""WITH {Q.clustered()}, t AS (SELECT DISTINCT cluster_label AS theme FROM clustered
+        UNION ALL SELECT 'a theme of no record'),
+      a AS (SELECT cluster_label AS theme, {Q.display("mode(source ORDER BY source)")} AS dominant_source,
+        mode(coalesce(predicted_label, 'Sem informacao') ORDER BY coalesce(predicted_label, 'Sem informacao')) AS dominant_sentiment,
+        mode(coalesce(cluster_signal, 'Misto') ORDER BY coalesce(cluster_signal, 'Misto')) AS cluster_signal,
+        coalesce(arg_min(cluster_action, record_id) FILTER (cluster_action IS NOT NULL), '') AS action,
+        coalesce(arg_min(cluster_example, record_id) FILTER (cluster_example <> ''), '') AS example,
+        coalesce(arg_min(cluster_keywords, record_id) FILTER (cluster_keywords IS NOT NULL), '') AS keywords
+      FROM clustered WHERE cluster_label IS NOT NULL GROUP BY 1)
+    SELECT t.theme, dominant_source, dominant_sentiment, cluster_signal, action, example, keywords FROM t LEFT JOIN a USING (theme)""",
 )
 def theme_attributes(spark, sf_dir):
-    rows = themed_reviews(spark, sf_dir).where(F.col("predicted_label") == S.NEGATIVE)
-    attributes = rows.groupBy("theme").agg(
-        F.count(F.lit(1)).alias("n"), F.mode("source", True).alias("dominant_source")
-    )
-    return attributes.withColumn("action", rules.theme_action(F.col("theme")))
+    rows = clustered_reviews(spark, sf_dir).withColumn("theme", F.col("cluster_label"))
+    names = rows.select("theme").distinct().union(spark.sql("SELECT 'a theme of no record'"))
+    return TH.join_theme_attributes(names, TH.theme_attributes(rows))
 
 
 _SHARES = ", ".join(
@@ -440,10 +446,8 @@ def scatter_cluster(spark, sf_dir):
 )
 def scatter_topic(spark, sf_dir):
     df = reviews_view(spark, sf_dir)
-    named = df.where(F.col("predicted_label") == S.NEGATIVE).select(
-        "record_id", F.format_string("Topico %d", F.col("cluster_id") + 1).alias("topic")
-    )
-    return df.select("record_id").join(named, "record_id", "left")
+    clustered = df.where(F.col("predicted_label") == S.NEGATIVE).select("record_id", "cluster_id")
+    return topics.scatter_topic(df.select("record_id"), clustered)
 
 
 @register(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from feedback_engine import schemas as S
 from feedback_engine.functions.scalars import not_nan, ratio
 from feedback_engine.functions.wordlists import NEUTRAL_GUARD
-from feedback_engine.operators.ranking import running_totals, whole, with_value_bucket
+from feedback_engine.operators.ranking import running_totals, with_value_bucket
+from feedback_engine.session import materialize
 
 SHORT = dict(zip(S.LABELS, ("neg", "neu", "pos")))
 SCORES = {label: f"score_{short}" for label, short in SHORT.items()}
@@ -197,20 +198,31 @@ def rank_order(df: DataFrame, tie: str = "model") -> list[Column]:
 
 
 def rank_models(df: DataFrame, tie: str = "model") -> DataFrame:
-    """Add ``model_rank``. Model tables have a row per candidate, a handful at most."""
-    return df.withColumn("model_rank", F.row_number().over(whole().orderBy(*rank_order(df, tie))))
+    """Add ``model_rank``, a running count over buckets of the leading metric: no task sees the whole table."""
+    guarded = F.lit(0)
+    if "f1_neu" in df.columns:
+        guarded = F.coalesce((_clean("f1_neu", df) < NEUTRAL_GUARD).cast("int"), F.lit(1))
+    auc = F.coalesce(_clean("roc_auc_macro", df), F.lit(-1.0))
+    bucket = guarded * 1_000 + F.greatest(F.lit(0.0), F.least(F.lit(999.0), F.floor((1 - auc) * 100)))
+    ranked = running_totals(df, [], bucket, rank_order(df, tie), {"n": F.lit(1).cast("long")})
+    return ranked.withColumn("model_rank", F.col("cum_n").cast("int")).drop("cum_n", "all_n")
 
 
 def choose_primary(df: DataFrame, tie: str = "model") -> DataFrame:
-    return rank_models(df, tie).where(F.col("model_rank") == 1).drop("model_rank")
+    """The first model in ``rank_order``; no row where there is none."""
+    return df.orderBy(*rank_order(df, tie)).limit(1)
 
 
 def merge_summaries(classic: DataFrame, neural: DataFrame | None = None, tie: str = "model") -> DataFrame:
-    """One primary flag; benchmark rows cannot win unless there is nothing else."""
+    """One primary flag; benchmark rows cannot win unless there is nothing else.
+
+    Of rows that are equal in the whole order, one is flagged.
+    """
     rows = classic if neural is None else classic.unionByName(neural, allowMissingColumns=True)
+    numbered = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "summaries")
     comparable = F.coalesce(F.col("provenance") != "benchmark", F.lit(True))
-    order = [F.desc(comparable), *rank_order(rows, tie)]
-    return rows.withColumn("is_primary", F.row_number().over(whole().orderBy(*order)) == 1)
+    best = numbered.orderBy(F.desc(comparable), *rank_order(rows, tie), "_row").limit(1).select("_row").scalar()
+    return numbered.withColumn("is_primary", F.col("_row") == best).drop("_row")
 
 
 def summary_rows(metrics: DataFrame, primary: str | Column, provenance: str) -> DataFrame:

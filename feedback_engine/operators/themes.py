@@ -139,3 +139,40 @@ def theme_priority_clusters(
     if "cluster_action" not in has:
         out = out.withColumn("action", rules.theme_action(F.col("theme"), accent_sensitive))
     return out.select(*THEME_COLUMNS)
+
+
+ATTRIBUTES = ("dominant_source", "dominant_sentiment", "cluster_signal", "action", "example", "keywords")
+
+
+def theme_attributes(
+    df: DataFrame, theme: str = "theme", sentiment: str = "predicted_label", order: str = "record_id",
+    accent_sensitive: bool = False,
+) -> DataFrame:
+    """The six attributes of each theme: most frequent source, class and signal, first action, example and keywords.
+
+    "First" is by ``order``. Cluster columns are optional: without them the signal is the dominant class, the action
+    follows from the theme, keywords are empty. Rows without a theme have no attributes.
+    """
+    has = set(df.columns)
+
+    def first_of(name: str) -> Column:
+        return _first(F.col(name), F.col(order)) if name in has else F.lit("")
+
+    example = F.nullif(F.col("cluster_example"), F.lit("")) if "cluster_example" in has else F.col("raw_text")
+    sentiment_mode = _mode(F.col(sentiment), S.NO_INFORMATION)
+    grouped = df.where(F.col(theme).isNotNull()).groupBy(theme).agg(
+        text.source_display(_mode(F.col("source"), S.UNKNOWN_SOURCE)).alias("dominant_source"),
+        sentiment_mode.alias("dominant_sentiment"),
+        (_mode(F.col("cluster_signal"), S.MIXED) if "cluster_signal" in has else sentiment_mode).alias("cluster_signal"),
+        first_of("cluster_action").alias("action"),
+        _first(example, F.col(order)).alias("example"),
+        first_of("cluster_keywords").alias("keywords"),
+    )
+    if "cluster_action" not in has:
+        grouped = grouped.withColumn("action", rules.theme_action(F.col(theme), accent_sensitive))
+    return grouped.select(theme, *ATTRIBUTES)
+
+
+def join_theme_attributes(themes: DataFrame, attributes: DataFrame, theme: str = "theme") -> DataFrame:
+    """Theme rows with their attributes; a theme without any keeps nulls."""
+    return themes.join(attributes, theme, "left")

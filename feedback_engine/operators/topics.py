@@ -240,6 +240,12 @@ def topic_pipeline(
     return scatter_clusters(members, clusters), topic_summary(clusters, method)
 
 
+def scatter_topic(df: DataFrame, assigned: DataFrame, key: str = "record_id") -> DataFrame:
+    """All rows with ``topic``, the name of their cluster; rows outside ``assigned`` (key, cluster_id) have none."""
+    named = assigned.select(key, F.format_string("Topico %d", F.col("cluster_id") + 1).alias("topic"))
+    return df.drop("topic").join(named, key, "left")
+
+
 def short_summary(summary: DataFrame) -> DataFrame:
     return summary.select(*S.TOPIC_SUMMARY_SHORT)
 
@@ -294,6 +300,4 @@ def negative_topics(
             }
         )
     )
-    names = assigned.select(key, F.format_string("Topico %d", F.col("cluster_id") + 1).alias("topic"))
-    rows = df.drop("topic").join(names, key, "left")
-    return rows, summary.select(*[F.col(f.name).cast(f.dataType) for f in short]).select(*S.TOPIC_SUMMARY_SHORT)
+    return scatter_topic(df, assigned, key), summary.select(*[F.col(f.name).cast(f.dataType) for f in short]).select(*S.TOPIC_SUMMARY_SHORT)
