@@ -13,7 +13,9 @@ from feedback_engine.operators import prepare as P
 from feedback_engine.operators import themes as TH
 from feedback_engine.operators import topics
 from feedback_engine.plans.adapters import clustered_reviews, docs_view, read_table, reviews_view, themed_reviews
+from feedback_engine.session import scratch_path
 from feedback_engine.sources import payloads
+from feedback_engine.sources.key_index import dedupe_batch, key_index
 
 R = f"WITH {Q.reviews()}"
 D = f"WITH {Q.docs()}"
@@ -578,6 +580,38 @@ def dedupe_text(spark, sf_dir):
     return P.dedupe_raw_text(docs, [F.col("doc_id")]).select("doc_id", F.md5("raw_text").alias("text_hash"))
 
 
+def _in_batches(spark, docs, keys, order, name):
+    """Four batches by id, the third run twice, each against the index of the keys before it."""
+    index = key_index(spark, scratch_path(spark, name), docs, keys, 16)
+    size = docs.agg(F.max("doc_id")).first()[0] // 4 + 1
+    out = []
+    for i in (0, 1, 2, 2, 3):
+        rows = docs.where(F.floor(F.col("doc_id") / size) == i)
+        out.append(dedupe_batch(index, rows, order, f"batch-{i}"))
+    return P.union_by_name([*out[:3], out[4]])
+
+
+@register(
+    "set_dedupe_id_source_batches",
+    """SELECT md5(text) AS record_id, source, min(doc_id) AS doc_id FROM documents
+    GROUP BY text, source""",
+)
+def dedupe_id_source_batches(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(F.col("text").alias("record_id"), "source", "doc_id")
+    kept = _in_batches(spark, docs, ["record_id", "source"], [F.col("doc_id")], "id-source-index")
+    return kept.withColumn("record_id", F.md5("record_id"))
+
+
+@register(
+    "set_dedupe_text_batches",
+    """SELECT min(doc_id) AS doc_id, md5(text) AS text_hash FROM documents GROUP BY text""",
+)
+def dedupe_text_batches(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(F.col("text").alias("raw_text"), "doc_id")
+    kept = _in_batches(spark, docs, ["raw_text"], [F.col("doc_id")], "text-index")
+    return kept.select("doc_id", F.md5("raw_text").alias("text_hash"))
+
+
 @register(
     "set_dedupe_videos",
     f"WITH {VIDEOS} SELECT video_id, video_title, query, item_rank FROM videos WHERE rn = 1",

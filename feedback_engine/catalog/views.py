@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedback_engine.catalog import register
+from feedback_engine.catalog import ORACLES, register
 from feedback_engine.catalog import sqltext as Q
 from feedback_engine.functions.text import clean_text
 from feedback_engine.operators import views as V
 from feedback_engine.plans.adapters import docs_view, read_table, reviews_view
+from feedback_engine.session import scratch_path
+from feedback_engine.sources.view_store import ViewStore
 
 R = f"WITH {Q.reviews()}"
 
@@ -130,3 +132,28 @@ def recent_sample(spark, sf_dir):
 def primary_key(spark, sf_dir):
     df = docs_view(spark, sf_dir, label=False)
     return V.key_violations(df.withColumn("record_id", F.md5("raw_text")))
+
+
+# ---- views kept by batches -----------------------------------------------------------------
+
+
+def _view_store(spark, sf_dir) -> ViewStore:
+    """Three batches of the records, the second committed twice, compacted before the last."""
+    store = ViewStore(spark, scratch_path(spark, "view-store"))
+    records = reviews_view(spark, sf_dir)
+    part = F.pmod(F.substring("record_id", 2, 20).cast("long"), F.lit(3))
+    for i in (0, 1, 1, 2):
+        if i == 2:
+            store.compact()
+        store.commit(records.where(part == i), f"batch-{i}")
+    return store
+
+
+def _register_kept(name: str) -> None:
+    @register(f"{name}_kept", ORACLES[name])
+    def kept(spark, sf_dir):
+        return getattr(_view_store(spark, sf_dir), name.removeprefix("vw_"))()
+
+
+for _name in ("vw_general_metrics", "vw_sentiment_by_month", "vw_source_summary"):
+    _register_kept(_name)

@@ -67,7 +67,13 @@ class ManifestTable:
         """The batch becomes the whole table. Readers that hold the old one still find its files."""
         self._commit(df, batch, False, partition_by)
 
-    def _commit(self, df: DataFrame, batch: str | None, keep: bool, partition_by: Sequence[str]) -> None:
+    def rewrite(self, df: DataFrame) -> None:
+        """Other files for the same content; the table's batches stay as they are."""
+        self._commit(df, None, False, (), True)
+
+    def _commit(
+        self, df: DataFrame, batch: str | None, keep: bool, partition_by: Sequence[str], same_batches: bool = False
+    ) -> None:
         before = self._commits()
         last = before[0] if before else None
         if batch is not None and last is not None and batch in last["batches"]:
@@ -78,7 +84,8 @@ class ManifestTable:
         self._write(df, folder, partition_by)
         version = last["version"] + 1 if last is not None else 1
         old_folders, old_batches = (last["folders"], last["batches"]) if last is not None and keep else ([], [])
-        row = (version, token, batch, [*old_folders, folder], [*old_batches, batch], df.schema.json())
+        batches = list(last["batches"]) if same_batches and last is not None else [*old_batches, batch]
+        row = (version, token, batch, [*old_folders, folder], batches, df.schema.json())
         self._publish(row)
         standing = next(c for c in self._commits() if c["version"] == version)
         if standing["token"] != token:
