@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterable
 
@@ -32,14 +33,57 @@ def _latin_map() -> tuple[str, str]:
 _LATIN_FROM, _LATIN_TO = _latin_map()
 
 
-def transliterate(text: Column) -> Column:
-    """Lower-case text to ASCII letters; symbols outside the basic plane are deleted."""
+# Usual ASCII spellings of the small Greek and Cyrillic letters.
+_GREEK = dict(zip("αβγδεζηικλμνξοπρσςτυω", "abgdezeiklmnxoprsstuo")) | {"θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps"}
+_CYRILLIC = dict(zip("абвгдезийклмнопрстуфыэіјґ", "abvgdeziiklmnoprstufyeijg")) | {
+    "ё": "io", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": '"', "ь": "'", "ю": "iu", "я": "ia",
+    "ђ": "dj", "ѓ": "gj", "є": "ie", "ѕ": "dz", "ї": "yi", "љ": "lj", "њ": "nj", "ћ": "tsh", "ќ": "kj", "ў": "u", "џ": "dzh",
+}
+_OTHER_SCRIPTS = (0x0370, 0x0500)
+
+
+def _script_table() -> list[str]:
+    """Spelling of each code point of the two blocks: accented letters as their base, unknown signs a blank."""
+    spelled = _GREEK | _CYRILLIC
+
+    def spelling(char: str) -> str:
+        return spelled.get(char) or spelled.get(unicodedata.normalize("NFD", char)[0], " ")
+
+    return [spelling(chr(point)) for point in range(*_OTHER_SCRIPTS)]
+
+
+_SCRIPT_TABLE = _script_table()
+
+
+def _latin_letters(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), r"[\x{0300}-\x{036F}\x{10000}-\x{10FFFF}]", "")
     for char, spelling in _LONG_SPELLINGS:
         out = F.replace(out, F.lit(char), F.lit(spelling))
     return F.translate(out, _LATIN_FROM, _LATIN_TO)
 
 
+def _other_letters(text: Column) -> Column:
+    """Greek and Cyrillic letters by their place in one table, sign by sign."""
+    first, end = _OTHER_SCRIPTS
+    table = F.from_json(F.lit(json.dumps(_SCRIPT_TABLE)), "array<string>")
+
+    def spelled(char: Column) -> Column:
+        point = F.ascii(char)
+        return F.when((point >= first) & (point < end), F.get(table, point - first)).otherwise(char)
+
+    return F.array_join(F.transform(F.split(text, ""), spelled), "")
+
+
+def transliterate(text: Column) -> Column:
+    """Lower-case text to ASCII letters; symbols outside the basic plane are deleted.
+
+    Only rows with a Greek or Cyrillic letter are read sign by sign. Letters of other scripts stay as they are.
+    """
+    latin = _latin_letters(text)
+    other = text.rlike(r"[\x{0370}-\x{04FF}]")
+    return F.when(other, _other_letters(latin)).otherwise(latin)
+
+
 def normalize_text(text: Column) -> Column:
     """Lower, transliterate, URLs to space, keep [a-z0-9], collapse and trim."""
     out = F.regexp_replace(transliterate(text), URL_PATTERN, " ")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from feedback_engine.functions import rules, text
 from feedback_engine.functions.wordlists import STOPWORD_PROFILES
+from feedback_engine.operators import prepare as P
 
 
 def apply(spark, values, expression):
@@ -115,3 +116,23 @@ def test_context_text(spark):
         )
     ).first()
     assert row[0] == "fonte: Google Play | categoria: Tema | texto: limpo"
+
+
+def test_greek_and_cyrillic_are_spelled(spark):
+    """Whole alphabets against their published spellings; such rows stay after cleaning."""
+    rows = [
+        ("Αα Ββ Γγ Δδ Εε Ζζ Ηη Θθ Ιι Κκ Λλ Μμ", "aa bb gg dd ee zz ee thth ii kk ll mm"),
+        ("Νν Ξξ Οο Ππ Ρρ Σσς Ττ Υυ Φφ Χχ Ψψ Ωω", "nn xx oo pp rr sss tt uu phph khkh psps oo"),
+        ("Άρθρο και ΐ ϋ", "arthro kai i u"),
+        ("а б в г д е ё ж з и й к л м н о п", "a b v g d e io zh z i i k l m n o p"),
+        ("р с т у ф х ц ч ш щ ы э ю я", "r s t u f kh ts ch sh shch y e iu ia"),
+        ("Щорс ПЛОХО приложение", "shchors plokho prilozhenie"),
+        ("подъезд соль", "pod ezd sol"),
+        ("crédito Ελλάδα 24h", "credito ellada 24h"),
+        ("日本", ""),
+    ]
+    df = spark.createDataFrame(rows, "raw string, want string")
+    for r in df.withColumn("got", text.normalize_text(F.col("raw"))).collect():
+        assert r["got"] == r["want"], r["raw"]
+    silver = P.preprocess_reviews(df.select(F.col("raw").alias("raw_text")))
+    assert silver.count() == len(rows) - 1  # only the ideographs have no spelling
