@@ -122,7 +122,7 @@ def _cumulated(
 ) -> DataFrame:
     counts = _score_counts(df, scores, truth, by)
     return running_totals(
-        with_value_bucket(counts, "score"),
+        with_value_bucket(counts, "score", [*by, "class"]),
         [*by, "class"],
         F.col("_vb"),
         [F.desc("score") if descending else F.asc("score")],

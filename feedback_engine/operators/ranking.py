@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +19,7 @@ from pyspark.sql.window import WindowSpec
 from feedback_engine.session import materialize
 
 MD5_PREFIX = 3  # 4,096 buckets of equal expected size
-SPLITS = 256
+SPLITS = 64
 
 
 def whole() -> WindowSpec:
@@ -255,17 +254,21 @@ def md5_rank(df: DataFrame, groups: Sequence[str], key: Column, seed: int) -> Da
     ).drop("_md5")
 
 
-def with_value_bucket(df: DataFrame, column: str, splits: int = SPLITS) -> DataFrame:
-    """Add ``_vb``, a monotone bucket of a numeric column, from approximate quantiles.
+def with_value_bucket(
+    counted: DataFrame, column: str, groups: Sequence[str] = (), splits: int = SPLITS
+) -> DataFrame:
+    """Add ``_vb``, a bucket of a numeric column that rises with it, each group cut at its own quantiles.
 
-    At most ``splits`` numbers reach the driver; they only steer the parallelism.
+    ``counted`` (grouped rows) is stored first, so its input runs once. A mergeable quantile sketch per group gives the
+    cuts in one pass over the stored rows; they only steer the parallelism, results do not depend on them.
     """
-    probabilities = [i / splits for i in range(1, splits)]
-    cuts = sorted(set(df.approxQuantile(column, probabilities, 0.002)))
-    if not cuts:
-        return df.withColumn("_vb", F.lit(0.0))
-    bounds = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=bounds, inputCol=column, outputCol="_vb").transform(df)
+    stored = materialize(counted, "value-counts")
+    ranks = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    sketch = F.kll_sketch_agg_double(F.col(column).cast("double"))
+    cuts = stored.groupBy(*groups).agg(F.kll_sketch_get_quantile_double(sketch, ranks).alias("_cuts"))
+    joined = _joined_on(stored, cuts, groups) if groups else stored.crossJoin(F.broadcast(cuts))  # one row
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(column)))
+    return joined.withColumn("_vb", below).drop("_cuts")
 
 
 def exact_quantiles(
@@ -282,7 +285,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = running_totals(
-        with_value_bucket(counts, "_x"),
+        with_value_bucket(counts, "_x", groups),
         groups,
         F.col("_vb"),
         [F.col("_x")],

@@ -52,3 +52,30 @@ def test_small_and_empty_groups(spark, table):
     assert RK.head_per_group_large(table.where("false"), ["g"], ORDERS[0], 5).count() == 0
     both = RK.head_per_group_large(table, ["g", "score"], [("i", False)], 2)
     assert both.groupBy("g", "score").count().where("count > 2").isEmpty()
+
+
+def test_each_group_is_cut_at_its_own_quantiles(spark):
+    """Three groups of very different ranges and sizes, one null: no bucket holds much more than its share."""
+    data = [("a", i / 20_000) for i in range(20_000)] + [("b", 1e9 + i) for i in range(2_000)] + [(None, -float(i)) for i in range(2_000)]
+    df = spark.createDataFrame(data, "g string, x double")
+    cut = RK.with_value_bucket(df.groupBy("g", "x").count(), "x", ["g"])
+    assert cut.count() == len(data)
+    sizes = cut.groupBy("g", "_vb").count()
+    for r in sizes.groupBy("g").agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("n")).collect():
+        assert r["n"] >= RK.SPLITS * 0.8 and r["most"] <= 3 * r["all"] / RK.SPLITS
+    exact = {r["g"]: r["q"] for r in RK.exact_quantiles(df, ["g"], "x", {"q": 0.5}).collect()}
+    assert exact["b"] == 1e9 + 999.5 and abs(exact["a"] - 9_999.5 / 20_000) < 1e-12 and exact[None] == -999.5
+
+
+def test_quantiles_run_their_input_once(spark):
+    """The input is evaluated for the stored counts and never again."""
+    hits = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        hits.add(1)
+        return float(x)
+
+    once = F.udf(seen, "double").asNondeterministic()  # else a plan may hold it twice
+    df = spark.range(500).select(F.lit("g").alias("g"), once("id").alias("x"))
+    assert RK.exact_quantiles(df, ["g"], "x", {"q": 0.5}).first()["q"] == 249.5
+    assert hits.value == 500
