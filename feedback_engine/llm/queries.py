@@ -147,4 +147,23 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(read_table(spark, sf_dir, "documents"))
 
 
+@register("license_base", oracles.LICENSE_BASE)
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 finds without the method's own labels; -1 where there is no place."""
+    places = {c: F.coalesce(c, F.lit(-1)) for c in ("first_word", "last_word")}
+    return op3(spark, sf_dir).drop("labels", "score").withColumns(places)
+
+
+@register("personal_data_counts", oracles.PERSONAL_DATA_COUNTS)
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's counts of plain identifiers."""
+    return op6(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+@register("mixing_targets", oracles.MIXING_TARGETS)
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's sizes and targets, without the words drawn."""
+    return op9(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
