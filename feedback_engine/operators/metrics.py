@@ -190,11 +190,11 @@ def rank_order(df: DataFrame, tie: str = "model") -> list[Column]:
 
     A missing neutral F1 fails the guard; a table without that column passes it.
     """
-    guard = F.lit(1)
+    guard = []
     if "f1_neu" in df.columns:
-        guard = F.coalesce((_clean("f1_neu", df) >= NEUTRAL_GUARD).cast("int"), F.lit(0))
-    names = ("roc_auc_macro", "f1_macro", "recall_macro", "f1_neu", "accuracy")
-    return [F.desc(guard), *[F.desc_nulls_last(_clean(n, df)) for n in names], F.col(tie)]
+        guard = [F.desc(F.coalesce((_clean("f1_neu", df) >= NEUTRAL_GUARD).cast("int"), F.lit(0)))]
+    names = [n for n in ("roc_auc_macro", "f1_macro", "recall_macro", "f1_neu", "accuracy") if n in df.columns]
+    return [*guard, *[F.desc_nulls_last(_clean(n, df)) for n in names], F.col(tie)]
 
 
 def rank_models(df: DataFrame, tie: str = "model") -> DataFrame:

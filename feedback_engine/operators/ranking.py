@@ -265,7 +265,9 @@ def with_value_bucket(
     stored = materialize(counted, "value-counts")
     ranks = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     sketch = F.kll_sketch_agg_double(F.col(column).cast("double"))
-    cuts = stored.groupBy(*groups).agg(F.kll_sketch_get_quantile_double(sketch, ranks).alias("_cuts"))
+    sketched = stored.groupBy(*groups).agg(sketch.alias("_k"))
+    known = F.when(F.kll_sketch_get_n_double("_k") > 0, F.kll_sketch_get_quantile_double("_k", ranks))
+    cuts = sketched.select(*groups, F.coalesce(known, F.array().cast("array<double>")).alias("_cuts"))
     joined = _joined_on(stored, cuts, groups) if groups else stored.crossJoin(F.broadcast(cuts))  # one row
     below = F.size(F.filter("_cuts", lambda cut: cut < F.col(column)))
     return joined.withColumn("_vb", below).drop("_cuts")
