@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from feedback_engine.functions import scalars
 from feedback_engine.operators.ranking import exact_quantiles, explode_terms, head_per_group
-from feedback_engine.operators.reports import share_of
 from feedback_engine.operators.views import counts
 
 
@@ -17,7 +16,8 @@ def value_counts(df: DataFrame, column: str, with_null: bool = False) -> DataFra
     """Counts and percent per value; the null bucket is optional."""
     kept = df if with_null else df.where(F.col(column).isNotNull())
     grouped = counts(kept.select(F.col(column).cast("string").alias("value")), "value")
-    return grouped.withColumn("pct", F.round(share_of(F.col("n")) * 100, 2))
+    total = kept.agg(F.count(F.lit(1)).alias("n")).scalar()  # no window over all distinct values
+    return grouped.withColumn("pct", F.round(scalars.ratio(F.col("n"), total) * 100, 2))
 
 
 def span_by_source(df: DataFrame) -> DataFrame:

@@ -41,9 +41,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{scratch_root(spark)}/feedback_engine/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path per call, so that a re-run never meets an older run's files."""
-    return f"{scratch_root(spark)}/feedback_engine/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application has written to the shared folder; results that still read it must be stored first.
+
+    Works on any file system Spark can write to. False if there was nothing.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -95,3 +95,16 @@ def test_cube_has_only_its_sets(spark):
     with pytest.raises(ValueError):
         made.by("k", "m")
     assert cube.fact_cube(df.where("false"), {"k": F.col("k")}, [["k"]], {"n": F.lit(1)}).by("k").count() == 0
+
+
+def test_scratch_of_a_run_can_be_removed(spark, tmp_path, monkeypatch):
+    """In a folder of its own, so that the shared one's files stay."""
+    import os
+
+    from feedback_engine import session as SE
+
+    monkeypatch.setattr(SE, "scratch_root", lambda spark: str(tmp_path))
+    kept = SE.materialize(spark.range(5), "five")
+    assert kept.count() == 5 and os.listdir(SE.run_folder(spark))
+    assert SE.clear_scratch(spark) and not os.path.exists(SE.run_folder(spark))
+    assert not SE.clear_scratch(spark)
