@@ -417,7 +417,8 @@ def test_token_rollup(spark, docs, nothing, tmp_path):
     ship_code(spark)
     vocabularies = {"bpe": packing.public_vocabulary()}
     rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
-    for _ in range(2):  # the second commit of a batch takes the place of the first
+    assert rollup.totals().count() == 0
+    for _ in range(2):  # the second commit of a batch changes nothing
         rollup.commit("b0", token_counts.delta(token_counts.counted(docs, vocabularies), 1))
     got = {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in rollup.totals().collect()}
     assert got[("a", "en", "words")] == (4, 60 + 60 + 5 + 30_000) and got[(None, "de", "words")] == (1, 0)
@@ -427,4 +428,8 @@ def test_token_rollup(spark, docs, nothing, tmp_path):
     assert got[("c", "fr", "words")] == (3, 4)
     rollup.commit("b2", token_counts.delta(token_counts.counted(docs.where("source = 'b'"), vocabularies), -1))
     rollup.commit("b3", token_counts.delta(token_counts.counted(nothing, vocabularies), 1))
+    before = sorted(map(str, rollup.totals().collect()))
+    rollup.compact()
+    rollup.commit("b1", token_counts.delta(token_counts.counted(docs, vocabularies), 1))  # known from before
+    assert sorted(map(str, rollup.totals().collect())) == before and rollup.table.batches() == ["b0", "b1", "b2", "b3"]
     assert "b" not in {r.source for r in rollup.totals().collect()}
