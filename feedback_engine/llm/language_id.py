@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import join_counted
+from feedback_engine.llm.common import join_counted, names
 from feedback_engine.session import materialize
 
 UNKNOWN = "und"
@@ -54,19 +54,25 @@ class TextModel:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> TextModel:
     """Naive Bayes from at most ``per_language`` whole texts of each of the MOST_LANGUAGES most frequent labels.
 
-    Rows are chosen by a hash of all columns, so any partitioning gives the same model. Null labels and texts take no
-    part. No labelled row at all gives a model that knows no language and rejects everything.
+    Rows are chosen by a hash of all columns, so any partitioning gives the same model; rows that repeat whole count once.
+    Null labels and texts take no part. No labelled row at all gives a model that knows no language and rejects everything.
     """
     rows = labelled.select(
         F.lower(F.col(f"`{lang_col}`")).alias("lang"), F.col(f"`{text_col}`").alias("text"),
         F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]).alias("h"),
     ).where("lang is not null and text is not null")
-    # only hashes are ranked, so no text is shuffled: a language's cut is the hash of its last chosen row
-    chosen = Window.partitionBy("lang").orderBy("h")
-    ranked = rows.select("lang", "h").withColumn("at", F.row_number().over(chosen)).where(F.col("at") <= per_language)
-    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut"), F.count("*").alias("n"))
-    cuts = cuts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    sample = rows.join(F.broadcast(cuts), "lang").where("h <= cut").select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not sizes:
+        return TextModel((), np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32))
+    # by its hash a row falls into a share of the range that holds nine tenths of the rows wanted, so few are ranked at all
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 0.9 * per_language / r["n"]) if r["n"] > per_language else 1.0)])
+    place = F.shiftrightunsigned("h", 11)
+    thinned = rows.withColumn("place", place).where(F.col("place") / float(1 << 53) < share[F.col("lang")])
+    ranks = Window.partitionBy("lang").orderBy("place", "h")
+    last = thinned.select("lang", "place", "h").distinct().withColumn("at", F.row_number().over(ranks)).where(F.col("at") <= per_language)
+    cuts = last.groupBy("lang").agg(F.max(F.struct("place", "h")).alias("cut"))  # at most MOST_LANGUAGES rows
+    sample = thinned.join(F.broadcast(cuts), "lang").where(F.struct("place", "h") <= F.col("cut"))
+    sample = sample.dropDuplicates(["lang", "h"]).select("lang", "text")  # rows repeated whole train once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -74,14 +80,18 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 own += np.bincount(_trigrams(text.encode()), minlength=BUCKETS)
-        yield pa.record_batch(
-            [pa.array(list(counts), pa.string()), pa.array([c.tolist() for c in counts.values()], pa.list_(pa.int64()))],
-            ["lang", "counts"],
-        )
-
-    totals: dict[str, np.ndarray] = {}
-    for lang, counts in sample.mapInArrow(run, "lang string, counts array<long>").toLocalIterator():
-        totals[lang] = totals.get(lang, 0) + np.array(counts, np.float64)
+        for lang, own in counts.items():
+            used = np.flatnonzero(own)
+            yield pa.record_batch(
+                [pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(own[used])], ["lang", "bucket", "n"]
+            )
+
+    summed = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table = summed.toArrow()  # at most MOST_LANGUAGES x BUCKETS rows
+    totals = {r["lang"]: np.zeros(BUCKETS) for r in sizes}
+    found, buckets, counts = np.array(table["lang"].to_pylist(), object), table["bucket"].to_numpy(), table["n"].to_numpy()
+    for lang, own in totals.items():
+        own[buckets[found == lang]] = counts[found == lang]
     known = sorted(sorted(totals, key=lambda x: -totals[x].sum())[:MOST_LANGUAGES])
     columns = [np.log((totals[x] + 0.5) / (totals[x].sum() + 0.5 * BUCKETS)) for x in known]
     columns.append(np.full(BUCKETS, -np.log(BUCKETS)))
@@ -180,13 +190,13 @@ def identify(
     overall = [((everything[i] or 0.0) + 1.0) / (n_all + len(classes)) for i in range(len(classes))]
 
     # what is declared for texts of each language: a table of at most (MOST_LANGUAGES + 2) ** 2 numbers
-    names = [*classes, "other"]
+    sayings = [*classes, "other"]
     seen = {r["declared"]: r for r in table.where("declared is not null").groupBy("declared").agg(*sums).collect()}
-    said_for = {d: [(seen[d][f"s{i}"] if d in seen else 0.0) for i in range(len(classes))] for d in names}
-    per_class = [sum(said_for[d][i] for d in names) for i in range(len(classes))]
+    said_for = {d: [(seen[d][f"s{i}"] if d in seen else 0.0) for i in range(len(classes))] for d in sayings}
+    per_class = [sum(said_for[d][i] for d in sayings) for i in range(len(classes))]
     log_said = {
-        d: [float(np.log((said_for[d][i] + (1.0 if d == c else 0.05)) / (per_class[i] + 1.0 + 0.05 * len(names)))) for i, c in enumerate(classes)]
-        for d in names
+        d: [float(np.log((said_for[d][i] + (1.0 if d == c else 0.05)) / (per_class[i] + 1.0 + 0.05 * len(sayings)))) for i, c in enumerate(classes)]
+        for d in sayings
     }
     literal = {d: F.array(*[F.lit(x) for x in log_said[d]]) for d in seen}
     declared_score = F.array(*[F.lit(0.0)] * len(classes))
@@ -219,6 +229,6 @@ def identify(
 def keep_known(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", **evidence) -> DataFrame:
     """``docs`` without the rows whose language is not known (or not accepted). Rows with a null id stay."""
     found = identify(docs, model, id_col, text_col, **evidence)
-    gone = materialize(found.where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "rejected")
-    few = gone.count() <= 4_000_000
-    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    gone_id = names(docs, "gone")["gone"]
+    gone = materialize(found.where("not kept").select(F.col(id_col).alias(gone_id)).distinct(), "rejected")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(gone_id), "left_anti")
