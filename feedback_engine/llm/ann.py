@@ -3,8 +3,8 @@
 A bounded sample of the vectors serves as pivots. A vector is represented by the order of its nearest pivots; it is
 posted in the inverted file of each of its ``POSTED`` nearest ones. A query visits the files of its ``PROBED`` nearest
 pivots. In a file, the footrule distance between the query's and a vector's order ranks the candidates, the best
-``RERANKED`` of them are ranked again by cosine on the original vectors in double precision, and the few best
-of each file meet in a last top-k per query.
+share ``RERANKED`` of them, at any size, is ranked again by cosine on the original vectors in double precision, and the few
+best of each file meet in a last top-k per query.
 
 A file is dealt over blocks of about ``BLOCK`` vectors, so no task holds a whole file and a file with most vectors is many
 tasks; queries go to each block of a file. The number of pivots grows with the square root of the rows up to
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from feedback_engine.session import materialize
 
 POSTED = 6
-PROBED = 24
 ORDERED = 16  # pivots in a vector's order
-RERANKED = 2_000  # candidates of a file's block ranked again by cosine, for each query
+PROBED = 16  # of them
+RERANKED = 0.75  # share of a file's block that the footrule passes on to the cosine, for each query
 BLOCK = 8_000
 MOST_PIVOTS = 128
 
@@ -52,12 +52,16 @@ def _orders(pivots: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.argsort(-near, axis=1, kind="stable")[:, : min(ORDERED, len(pivots))]
 
 
-def _footrule(query: np.ndarray, orders: np.ndarray, n_pivots: int) -> np.ndarray:
-    """Sum over the query's pivots of how far each is from its place; a pivot not in an order counts as just after it."""
-    width = orders.shape[1]
-    place = np.full((len(orders), n_pivots), width, np.int16)
-    np.put_along_axis(place, orders, np.arange(width, dtype=np.int16)[None, :], axis=1)
-    return np.abs(place[:, query] - np.arange(len(query), dtype=np.int16)[None, :]).sum(axis=1)
+def _places(orders: np.ndarray, n_pivots: int) -> np.ndarray:
+    """Place of each pivot in each order; a pivot not in it stands just after it."""
+    place = np.full((len(orders), n_pivots), orders.shape[1], np.int16)
+    np.put_along_axis(place, orders, np.arange(orders.shape[1], dtype=np.int16)[None, :], axis=1)
+    return place
+
+
+def _footrule(query: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sum over the query's pivots of how far each is from its place."""
+    return np.abs(places[:, query] - np.arange(len(query), dtype=np.int16)[None, :]).sum(axis=1)
 
 
 def pivots_of(entries: DataFrame, n_entries: int) -> np.ndarray:
@@ -68,7 +72,8 @@ def pivots_of(entries: DataFrame, n_entries: int) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5,
+    reranked: float = RERANKED,
 ) -> DataFrame:
     """The ``k`` nearest found for each row whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
@@ -114,13 +119,11 @@ def nearest(
         found: list[tuple[int, int, float]] = []
         if len(members) and len(probes):
             matrix = np.stack(members["v"]).astype(np.float64)
-            orders = np.stack(members["pivots"])
+            places = _places(np.stack(members["pivots"]), n_pivots)
             units = _unit(matrix)
+            passed = min(len(members), max(k + 1, int(np.ceil(reranked * len(members)))))
             for query_id, v, order in zip(probes["vec_id"], probes["v"], probes["pivots"], strict=True):
-                candidates = np.arange(len(members))
-                if len(members) > RERANKED:
-                    far = _footrule(order, orders, n_pivots)
-                    candidates = np.argpartition(far, RERANKED)[:RERANKED]
+                candidates = np.argpartition(_footrule(order, places), passed - 1)[:passed]
                 own = _unit(np.asarray(v, np.float64)[None, :])[0]
                 score = np.clip((units[candidates] * own).sum(axis=1), -1.0, 1.0)
                 best = score >= np.partition(score, -min(k + 1, len(score)))[-min(k + 1, len(score))]

@@ -1,8 +1,9 @@
 """Delta-maintained token counts.
 
 Totals by source, language and tokenizer version are never recounted. A batch of changes (inserts, deletes, revised texts) becomes
-signed deltas, which are summed by group and committed as the batch's own folder of a stored table: committing a batch again
-replaces its folder, so a retried or repeated batch counts once. Totals are the sum over the folders.
+signed deltas, which are summed by group and appended to a table that commits by manifest: the batch is there whole or not at
+all, and a batch that is there already is not added again, so a retried or repeated batch counts once. Totals are the sum over
+the batches; ``compact`` adds them up.
 
 Deltas are combined before the shuffle, so a source with a third of all rows sends one row per task.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from feedback_engine.llm.bpe import load
 from feedback_engine.llm.mixing import n_words
 from feedback_engine.llm.packing import Vocabulary
+from feedback_engine.sources.manifest import ManifestTable
 
 GROUP = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, documents long, tokens long"
@@ -60,22 +62,36 @@ def delta(counts: DataFrame, sign: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rollup:
-    """Totals kept under ``path``, a folder that all executors share."""
+    """Totals kept under ``path``, a folder that all executors share.
+
+    Batch ids are any strings. Rows that repeat within a batch count as often as they stand. An empty batch is committed and
+    changes nothing; without any batch there are no totals.
+    """
 
     spark: SparkSession
     path: str
 
+    @property
+    def table(self) -> ManifestTable:
+        return ManifestTable(self.spark, self.path)
+
     def commit(self, batch: str, *deltas: DataFrame) -> None:
-        """Write a batch's summed deltas; the same batch again takes the place of the earlier one."""
+        """Add a batch's summed deltas; a batch that was committed before changes nothing."""
         both = reduce(DataFrame.unionByName, deltas)
-        summed = both.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        self.table.append(both.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")), batch)
 
     def revise(self, batch: str, old: DataFrame, new: DataFrame) -> None:
         """Counts of revised documents: what they were goes, what they are comes."""
         self.commit(batch, delta(old, -1), delta(new, 1))
 
+    def compact(self) -> None:
+        """Replace all batches by their sums; they stay known as committed."""
+        self.table.rewrite(self._sums())
+
+    def _sums(self) -> DataFrame:
+        rows = self.table.read() if self.table.exists() else self.spark.createDataFrame([], SCHEMA)
+        return rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+
     def totals(self) -> DataFrame:
         """Groups that still have documents. A null source or language is a group of its own."""
-        rows = self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self.path)
-        return rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
+        return self._sums().where("documents <> 0 or tokens <> 0")

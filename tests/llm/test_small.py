@@ -402,6 +402,24 @@ def test_permutation_index(spark, sf_dir):
     assert all(abs(r.score - units[np.searchsorted(ids, r.query_id)] @ units[np.searchsorted(ids, r.vec_id)]) < 1e-12 for r in found)
 
 
+def test_footrule_against_plain_sums():
+    rng = np.random.default_rng(6)
+    orders = np.stack([rng.permutation(30)[:8] for _ in range(50)])
+    query = rng.permutation(30)[:8]
+    places = ann._places(orders, 30)
+    for order, got in zip(orders, ann._footrule(query, places), strict=True):
+        at = {p: i for i, p in enumerate(order)}
+        assert got == sum(abs(at.get(p, 8) - i) for i, p in enumerate(query))
+
+
+def test_permutation_index_ranks_by_footrule_at_any_size(spark, sf_dir):
+    """A smaller share of each file finds less, so the footrule decides in small tables as well."""
+    ship_code(spark)
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    whole, some = (ann.nearest(table, reranked=r).agg({"score": "sum"}).first()[0] for r in (1.0, 0.1))
+    assert some < whole
+
+
 def test_permutation_index_odd_rows(spark):
     ship_code(spark)
     nan, inf = float("nan"), float("inf")
