@@ -55,6 +55,11 @@ def _rows(counts: dict[str, Counter]) -> pa.RecordBatch:
     )
 
 
+def _slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows.num_rows, HELD):
+        yield rows.slice(at, HELD)
+
+
 def parse(data: bytes, overlap: int, trigger: int) -> Iterator[bytes]:
     """Keys of the chunks of a buffer of pieces (each ends with 0x0A, all blanks are single).
 
@@ -236,10 +241,10 @@ def counted_grams(chunks: DataFrame, most_words: int, known: list[np.ndarray]) -
                             else:
                                 for gram, k in zip(found, own.times[mine].tolist(), strict=True):
                                     to[gram] += k
-                if sum(map(len, counts.values())) > HELD * 2:
-                    yield _rows(counts)
+                if sum(map(len, counts.values())) > HELD * 6:  # what is frequent then leaves a task once or twice
+                    yield from _slices(_rows(counts))
                     counts = {}
-        yield _rows(counts)
+        yield from _slices(_rows(counts))
 
     found = chunks.select("lang", "key", "times").mapInArrow(run, "lang string, key string, times long")
     return found.groupBy("lang", "key").agg(F.sum("times").alias("times"))
