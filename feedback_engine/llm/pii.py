@@ -46,7 +46,7 @@ _LOOK_TABLE = str.maketrans(_LOOKS)
 _LOOK_SEARCH = re.compile("[" + "".join(map(re.escape, sorted(_LOOKS))) + "]")
 _SPELLED = re.compile(rf"(?i)(?<![a-zà-ÿ0-9])(?:(?:{_ANY_DIGIT})(?![a-zà-ÿ])[ ,-]{{0,2}}){{7,}}")
 _DIGIT_WORD = re.compile(rf"(?i){_ANY_DIGIT}")
-_MAYBE_SPELLED = re.compile("|".join(sorted(_DIGIT_OF, key=len, reverse=True)))
+_WORDS = re.compile("[a-zà-ÿ]+")
 _AT = re.compile(r"(?i)(?<=[a-z0-9])\s?(?:\[at\]|\(at\)|\{at\}|<at>)\s?(?=[a-z0-9])")
 _DOT = re.compile(r"(?i)(?<=[a-z0-9])\s?(?:\[dot\]|\(dot\)|\{dot\}|<dot>)\s?(?=[a-z0-9])")
 _AT_WORD = re.compile(r"(?i) at(?= )")
@@ -156,12 +156,18 @@ def plain_spans(text: str) -> dict[str, list[Span]]:
     return {k: find(text) if (digits if k != "email" else "@" in text) else [] for k, find in _FINDERS.items()}
 
 
+def _may_spell(low: str) -> bool:
+    """Whether a text has a digit word, and seven of them and digits together."""
+    spelled = sum(map(_DIGIT_OF.__contains__, _WORDS.findall(low)))
+    return spelled >= 7 or spelled > 0 and spelled + sum(map(low.count, "0123456789")) >= 7
+
+
 def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
     """Rewritten text, and for each of its characters where its source begins and ends; None if nothing is disguised."""
     look = text.translate(_LOOK_TABLE) if not text.isascii() and _LOOK_SEARCH.search(text) else text  # one sign each
     low = look.lower()
     edits: list[tuple[int, int, list[tuple[str, int, int]]]] = []  # source stretch -> (sign, begin, end)
-    if len(_MAYBE_SPELLED.findall(low)) >= 7:
+    if _may_spell(low):
         for m in _SPELLED.finditer(look):
             signs = []
             for w in _DIGIT_WORD.finditer(look, *m.span()):
