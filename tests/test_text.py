@@ -136,3 +136,17 @@ def test_greek_and_cyrillic_are_spelled(spark):
         assert r["got"] == r["want"], r["raw"]
     silver = P.preprocess_reviews(df.select(F.col("raw").alias("raw_text")))
     assert silver.count() == len(rows) - 1  # only the ideographs have no spelling
+
+
+def test_topic_rules_join_a_row_once(spark):
+    """No marker joins the keywords again, no keyword cleans the list again; odd lists keep their labels."""
+    data = [(1, ["juros_altos", "Juros x", "  ", "taxa"]), (2, []), (3, None), (4, ["Só", "só mais"]), (5, [None, "a b"]), (6, ["credito"])]
+    df = spark.createDataFrame(data, "i int, k array<string>")
+    topic = rules.topic_label(F.col("k"))
+    refined = rules.refine_topic_label(F.col("topic"), F.lit("Negativo"), F.col("k"))
+    made = df.select("i", "k", topic.alias("topic")).select("i", "topic", refined.alias("refined"))
+    text = made._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("array_join(") <= 2  # one for the label, one for its adjustment
+    out = {r["i"]: (r["topic"], r["refined"]) for r in made.collect()}
+    assert out[2][0] == out[3][0] == "Tema sem rotulo" and out[6][1] == "Empréstimo / crédito"
+    assert out[4][0] == "Só" and out[5][0] == "A b"
