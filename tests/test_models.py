@@ -114,6 +114,22 @@ def test_logistic_regression_equals_mllib(spark, mixed):
     assert np.allclose(ours.coefficients.T, theirs.coefficientMatrix.toArray(), atol=5e-3)
 
 
+def test_training_works_on_bounded_pieces(spark):
+    """Packed rows give back what was stored, and a task takes whole rows of some entries at a time."""
+    from feedback_engine.operators import linear
+
+    cut = linear.row_cutter(4)
+    assert [(s.start, s.stop) for s in cut(np.array([3, 0, 5, 2, 2]))] == [(0, 2), (2, 3), (3, 5)]
+    data = [(i % 3, i % 5, list(range(i % 40)), [float(1 + (i + t) % 7) for t in range(i % 40)]) for i in range(300)]
+    stored = spark.createDataFrame(data, "y int, fold int, terms array<int>, counts array<double>").coalesce(1)
+    packed, pieces, got = linear.packed(stored), linear.unpacker(), []
+    assert 1 < packed.count() < 30
+    for batch in packed.toArrow().to_batches():
+        for y, fold, of, terms, counts in pieces(batch):
+            got += [(int(a), int(b), terms[of == r].tolist(), counts[of == r].tolist()) for r, (a, b) in enumerate(zip(y, fold))]
+    assert got == data
+
+
 def test_linear_svc_is_optimal(mixed):
     """The gradient of the squared hinge loss, formed here row by row, vanishes at the fitted weights."""
     train = models.build_training_set(mixed)
