@@ -288,6 +288,20 @@ def test_keywords_of_many_groups(spark):
         assert mine.keys() == alone.keys() and all(abs(mine[k] - alone[k]) < 1e-12 for k in mine)
 
 
+def test_large_vocabularies_stay_a_table(spark, monkeypatch):
+    """Weights are the same whether tasks hold the vocabularies or join them; rows without a group have no terms."""
+    texts = ["pix caiu pix", "login falha", "", "pix login caiu falha"]
+    data = [(f"{g}-{i}", g, t) for g in ("a", "b", None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "record_id string, g string, clean_text string")
+    spec, found = FT.SPECS["cluster_keywords"], []
+    for few in (FT.FEW_TERMS, 0):
+        monkeypatch.setattr(FT, "FEW_TERMS", few)
+        made = FT.tfidf_long(df, "record_id", "clean_text", spec, "g").collect()
+        found.append({(r["record_id"], r["g"], r["term"]): r["weight"] for r in made})
+    assert found[0].keys() == found[1].keys() and all(g for _, g, _ in found[0])
+    assert all(abs(found[0][k] - found[1][k]) < 1e-12 for k in found[0])
+
+
 def test_brand_terms_are_no_terms(spark):
     from dataclasses import replace
 
