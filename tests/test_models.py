@@ -313,3 +313,55 @@ def test_brand_terms_are_no_terms(spark):
     assert terms == {"pix", "caiu", "pix caiu"}
     silver = P.preprocess_reviews(df.withColumnRenamed("clean_text", "raw_text"), brand_terms=["marca"])
     assert {r["clean_text"] for r in silver.collect()} == {"pix caiu"}
+
+
+def test_frequent_terms_as_a_matrix_and_rare_ones_by_entry_give_the_same_sums():
+    """Both ways of multiplying rows, in any share, are the plain products."""
+    from feedback_engine.operators import linear
+
+    dice = np.random.default_rng(3)
+    x = np.where(dice.random((60, 40)) < np.linspace(0, 1, 40), dice.random((60, 40)), 0)
+    of, terms = np.nonzero(x)
+    weights, pulls = dice.random((5, 40)), dice.random((60, 5))
+    for share, most in ((0.02, 1 << 20), (0.5, 1 << 20), (0.02, 300), (2.0, 1 << 20)):
+        linear.DENSE_SHARE, linear.DENSE_VALUES, kept = share, most, (linear.DENSE_SHARE, linear.DENSE_VALUES)
+        try:
+            ahead, back = linear.row_products()(of, 60, terms, x[of, terms], 40)
+        finally:
+            linear.DENSE_SHARE, linear.DENSE_VALUES = kept
+        totals = np.zeros((5, 40))
+        back(pulls, totals)
+        assert np.allclose(ahead(weights), x @ weights.T) and np.allclose(totals, pulls.T @ x)
+
+
+def test_packed_rows_know_their_lengths(mixed):
+    """A pass reads the lengths that packing stored; for each variant they are those of its weighted rows."""
+    from feedback_engine.operators import linear
+
+    folded = models.sampling.stratified_kfold(mixed)
+    train = models.build_training_set(folded, fold="fold", left_out=range(2), keep=["record_id", "label"])
+    pieces, got = linear.unpacker(), []
+    for batch in linear.packed(train.rows, train.variants, train.spec.sublinear).toArrow().to_batches():
+        for _, _, of, terms, counts, norms in pieces(batch):
+            for which, v in enumerate(train.variants):
+                idf = np.where(v.places >= 0, v.idf[v.places], 0)
+                want = np.sqrt(np.bincount(of, ((1 + np.log(counts)) * idf[terms]) ** 2, len(norms)))
+                got.append(np.allclose(norms[:, which], np.where(want > 0, want, 1)))
+    assert got and all(got)
+
+
+def test_words_are_stored_and_pairs_are_made_where_they_are_counted(spark, mixed):
+    """Statistics and count vectors of stored words equal those of grams spelled out; no gram is stored."""
+    spec = FT.SPECS["sentiment"]
+    odd = spark.createDataFrame([("a", "x"), ("b", ""), ("c", None), ("d", "x x x"), ("e", "y x y x")], "record_id string, clean_text string")
+    rows = mixed.select("record_id", "clean_text").unionByName(odd)
+    stored = FT.stored_grams(rows, ["record_id"], "clean_text", spec, "words")
+    assert stored.columns == ["record_id", "_tokens"]
+    grams = FT.with_grams(rows, "clean_text", spec).select("record_id", "_grams")
+    spelled = {r[0]: (r[1], r[2]) for r in FT.gram_statistics(grams).collect()}
+    assert {r[0]: (r[1], r[2]) for r in FT.gram_statistics(stored).collect()} == spelled and "x x" in spelled
+    terms = sorted(spelled)[::2]
+    want = {r[0]: {t: r[1].count(t) for t in terms if t in r[1]} for r in grams.collect()}
+    got = FT.count_vectors(stored, terms, "counted").collect()
+    assert {r["record_id"]: {terms[i]: c for i, c in zip(r["terms"], r["counts"])} for r in got} == want
+    assert all(r["terms"] == sorted(r["terms"]) for r in got)
