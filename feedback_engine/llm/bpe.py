@@ -12,7 +12,7 @@ import re
 from array import array
 from functools import lru_cache
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1 << 16  # of a worker; frequent words come early, so that more would take memory and save little
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _OTHER = re.compile("[^\t\n\r -~¡-©À-ſ]")
 _WORD = re.compile(

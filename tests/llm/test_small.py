@@ -451,3 +451,18 @@ def test_token_rollup(spark, docs, nothing, tmp_path):
     rollup.commit("b1", token_counts.delta(token_counts.counted(docs, vocabularies), 1))  # known from before
     assert sorted(map(str, rollup.totals().collect())) == before and rollup.table.batches() == ["b0", "b1", "b2", "b3"]
     assert "b" not in {r.source for r in rollup.totals().collect()}
+
+
+def test_word_table_is_small_and_ids_do_not_depend_on_it():
+    """A worker keeps 65,536 words at most; words beyond are encoded each time, with the same ids."""
+    from array import array
+
+    from feedback_engine.llm import bpe, packing
+
+    vocabulary = packing.public_vocabulary()
+    coder = bpe.Bpe(vocabulary.ranks_path, vocabulary.pattern)
+    digits = str.maketrans("0123456789", "abcdefghij")
+    text = " ".join(str(i).translate(digits) for i in range(70_000))
+    want = array("I", coder.coding.encode_ordinary(text)).tobytes()
+    assert coder.ids(text) == want and len(coder.words) <= 1 << 16
+    assert coder.ids(text) == want
