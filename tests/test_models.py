@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,3 +366,62 @@ def test_words_are_stored_and_pairs_are_made_where_they_are_counted(spark, mixed
     got = FT.count_vectors(stored, terms, "counted").collect()
     assert {r["record_id"]: {terms[i]: c for i, c in zip(r["terms"], r["counts"])} for r in got} == want
     assert all(r["terms"] == sorted(r["terms"]) for r in got)
+
+
+def zipf_rows(spark, n: int, words: int, seed: int):
+    """Rows of frequent and rare words, some without any, dealt over three folds."""
+    dice = np.random.default_rng(seed)
+    share = 1 / np.arange(1, words + 1)
+    picked = [dice.choice(words, dice.integers(0, 30), p=share / share.sum()) for _ in range(n)]
+    data = [(str(i), i % 3, " ".join(f"w{w}" for w in row)) for i, row in enumerate(picked)]
+    return spark.createDataFrame(data, "record_id string, fold int, clean_text string")
+
+
+@pytest.mark.parametrize("buckets", (1 << 20, 1 << 9))
+def test_only_bigrams_that_can_be_frequent_are_counted_by_name(spark, monkeypatch, buckets):
+    """Vocabularies, of all rows and without a fold, equal those of grams spelled out; few bigrams are counted, however many share a counter."""
+    rows, spec = zipf_rows(spark, 400, 300, 5), FT.TfidfSpec(40, min_df=2, max_df=0.6)
+    kept, real = {}, FT.materialize
+    monkeypatch.setattr(FT, "BUCKETS", buckets, raising=False)
+    monkeypatch.setattr(FT, "materialize", lambda df, name: kept.setdefault(name, real(df, name)))
+    stored = FT.stored_grams(rows, ["record_id", "fold"], "clean_text", spec, "words")
+    sizes = {f: rows.where(F.col("fold") == f).count() for f in range(3)}
+    got = FT.left_out_vocabularies(stored, spec, "fold", [None, 0, 2], sizes)
+    named = kept["term-statistics"].where(F.col("term").contains(" ")).count()
+    grams = FT.with_grams(rows, "clean_text", spec)
+    kept.clear()
+    for f, vocabulary in zip((None, 0, 2), got):
+        rest = grams if f is None else grams.where(F.col("fold") != f)
+        assert vocabulary == FT.fit_vocabulary(rest, spec) and any(" " in t for t in vocabulary.terms)
+        kept.clear()
+    every = FT.gram_statistics(grams.select("_grams")).where(F.col("term").contains(" ") & (F.col("df") >= spec.min_df)).count()
+    assert named < every / 2 if buckets > 1 << 9 else named < every
+
+
+def test_few_words_count_all_bigrams(spark):
+    """With fewer usable words than the vocabulary holds, no bigram is left out."""
+    rows, spec = zipf_rows(spark, 100, 20, 6), FT.TfidfSpec(10_000)
+    stored = FT.stored_grams(rows, ["record_id"], "clean_text", spec, "words")
+    found = FT.fit_vocabulary(stored, spec)
+    assert found == FT.fit_vocabulary(FT.with_grams(rows, "clean_text", spec), spec)
+    assert set(found.terms) == {r["term"] for r in FT.gram_statistics(stored).collect()}
+
+
+def test_counters_start_small_and_no_rows_have_no_terms(spark):
+    spec = FT.TfidfSpec(2)
+    for texts in ([], [""], ["a a b b a b", None]):
+        rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "record_id string, clean_text string")
+        stored = FT.stored_grams(rows, ["record_id"], "clean_text", spec, "words")
+        assert FT.fit_vocabulary(stored, spec).terms == (("a", "b") if len(texts) > 1 else ())
+
+
+def test_joined_words_are_split_as_they_were():
+    """Pieces of any size hold each row's words in order, whether they come joined or as lists."""
+    dice = np.random.default_rng(1)
+    lists = [[f"w{x}" for x in dice.integers(0, 9, n)] for n in dice.choice([0, 0, 1, 2, 9], 300)]
+    for column in (pa.array([" ".join(x) for x in lists]), pa.array(lists, pa.list_(pa.string()))):
+        batch, got = pa.record_batch([pa.array(range(300)), column], ["i", "w"]).slice(7, 280), {}
+        for piece, of, code, words in FT.coded_words(50)(batch, None):
+            for row, c in zip(of, code):
+                got.setdefault(piece.column(0)[int(row)].as_py(), []).append(words[int(c)].as_py())
+        assert got == {i: lists[i] for i in range(7, 287) if lists[i]}
