@@ -150,3 +150,17 @@ def test_topic_rules_join_a_row_once(spark):
     out = {r["i"]: (r["topic"], r["refined"]) for r in made.collect()}
     assert out[2][0] == out[3][0] == "Tema sem rotulo" and out[6][1] == "Empréstimo / crédito"
     assert out[4][0] == "Só" and out[5][0] == "A b"
+
+
+def test_ascii_rows_skip_the_letter_tables(spark):
+    """Letters are spelled out only in rows beyond ASCII, URLs sought only where their first letters stand; the text is the same."""
+    texts = ["Plain HTTP://A.b/c x", "wwwx www.A", "ÀÉ ĥttp://x y", "WWW. www.é", "Σίσυφος ΟΔΟΣ", "İI x", "áb\U0001f600c", "", None, "straße ŉ http"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    latin, other = text._latin_letters(t), t.rlike(r"[\x{0370}-\x{04FF}]")
+    spelled = F.when(other, text._other_letters(latin)).otherwise(latin)
+    whole = F.trim(F.regexp_replace(F.regexp_replace(spelled, text.URL_PATTERN, " "), r"[^a-z0-9]+", " "))
+    for r in df.select(spelled.alias("a"), text.transliterate(t).alias("b"), whole.alias("c"), text.normalize_text(t).alias("d")).collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"]
+    plan = df.select(text.normalize_text(t))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan and "contains" in plan.lower()
