@@ -425,3 +425,48 @@ def test_joined_words_are_split_as_they_were():
             for row, c in zip(of, code):
                 got.setdefault(piece.column(0)[int(row)].as_py(), []).append(words[int(c)].as_py())
         assert got == {i: lists[i] for i in range(7, 287) if lists[i]}
+
+
+def test_topic_pipeline_stores_no_grams_and_leaves_no_text_behind(spark, monkeypatch):
+    """The text is stored once at a time, never as grams, and the tables of the way are gone; the rows still get their clusters."""
+    stored, real = {}, topics.materialize
+
+    def kept(df, name):
+        stored[name] = real(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(topics, "materialize", kept)
+    monkeypatch.setattr(FT, "materialize", kept)
+    rows = topic_rows(spark)
+    members, summary = topics.topic_pipeline(rows, k=2)
+    assert not any("_grams" in t.columns for t in stored.values())
+    assert [n for n, t in stored.items() if "raw_text" in t.columns or "embedding" in t.columns] == []
+    folder = lambda t: spark._jvm.org.apache.hadoop.fs.Path(t.inputFiles()[0].rsplit("/", 1)[0])
+    there = {n for n, t in stored.items() if folder(t).getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder(t))}
+    assert there.isdisjoint({"topic-rows", "topic-tokens", "topic-vectors", "topic-reduced"})
+    sizes = {r["cluster_id"]: r["count"] for r in members.groupBy("cluster_id").count().collect()}
+    assert sizes.pop(None) == 1 and sorted(sizes.values()) == sorted(r["n_records"] for r in summary.collect())
+
+
+def test_grouped_vocabularies_count_only_bigrams_that_can_be_in_them(spark, monkeypatch):
+    """Weights equal those of each group fitted on its own; a group of few words does not make the others count all their bigrams."""
+    spec = FT.TfidfSpec(40, min_df=2, max_df=0.6)
+    large = zipf_rows(spark, 400, 300, 5).withColumn("fold", F.lit(0))
+    small = zipf_rows(spark, 20, 12, 6).withColumn("fold", F.lit(1))
+    rows = large.unionByName(small).unionByName(spark.createDataFrame([("n", None, "w1 w2")], "record_id string, fold int, clean_text string"))
+    named, real = [], FT.gram_statistics
+
+    def counted(*a):
+        named.append(real(*a).where((F.col("fold") == 0) & F.col("term").contains(" ")).count())
+        return real(*a)
+
+    monkeypatch.setattr(FT, "gram_statistics", counted)
+    got = {(r["fold"], r["record_id"], r["term"]): r["weight"] for r in FT.group_weights(rows, ["record_id"], "clean_text", spec, "fold")[0].collect()}
+    every = real(FT.stored_grams(large, ["fold"], "clean_text", spec, "w"), "fold").where(F.col("term").contains(" ")).count()
+    assert 0 < named[0] < every / 2
+    monkeypatch.undo()
+    want = {}
+    for f, own in ((0, large), (1, small)):
+        for r in FT.tfidf_long(own, "record_id", "clean_text", spec).collect():
+            want[f, r["record_id"], r["term"]] = r["weight"]
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
